@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm import chat, decontaminate, mixing, near_dup
+from ratelens.llm import chat, decontaminate, language_ecoc, mixing, near_dup, quality_fm
 from ratelens.sources.tables import table
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ecoc.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -115,6 +123,8 @@ FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fm": op1_quality_fm,
+    "op3_language_ecoc": op3_language_ecoc,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op9_chat_format": op9_chat_format,
