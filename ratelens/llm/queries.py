@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm import chat, decontaminate, language_ecoc, mixing, near_dup, quality_fm
+from ratelens.llm import chat, decontaminate, language_ecoc, mixing, near_dup, quality_fm, toxicity_ws
 from ratelens.sources.tables import table
 
 
@@ -23,6 +23,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_ws.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op3_language_ecoc": op3_language_ecoc,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_toxicity_weak": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_decontaminate": op10_decontaminate,
