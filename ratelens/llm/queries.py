@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm import chat, decontaminate, language_ecoc, mixing, near_dup, quality_fm, secrets_rf, toxicity_ws, url_gbt
+from ratelens.llm import chat, decontaminate, language_ecoc, media_chunks, mixing, near_dup, quality_fm, secrets_rf, toxicity_ws, url_gbt
 from ratelens.sources.tables import table
 
 
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_ws.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.read_back(media_chunks.store(table(spark, sf_dir, "documents")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -140,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_ecoc": op3_language_ecoc,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_toxicity_weak": op5_toxicity,
+    "op6_media_chunks": op6_media_chunks,
     "op7_mix_sources": op7_mix_sources,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
