@@ -1,20 +1,28 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
-Each document is the set of its k-word shingles and carries a sketch of minwise tokens. An independent tree
-starts from one sketch coordinate: documents that share the chosen minwise token share a node. A node of at
-most `leaf` documents is compared exhaustively inside one task; a larger node branches again on two further
-coordinates chosen by the node's path, so a pair keeps its expected number of common paths at every depth.
-The trees are independent; with `trees` roots a pair of similarity s is missed with probability
-(1 - s)**trees where its nodes are leaves (2e-10 at s = 0.75 and 16 trees), and with about
-(1 - s * 0.91)**trees below branched nodes.
+Each document is the set of its k-word shingles and carries two sketches: `coordinates` minwise tokens, the
+paths to choose from, and the least shingle of each of 256 equal ranges of the hash space, a byte each, to
+compare by. An independent tree starts from one coordinate: documents that share the chosen minwise token share
+a node. Below the root, a node is split by size bands: a document goes to its own band and the next, so any two
+whose sizes allow the threshold still meet. A node of at most `leaf` documents is then compared exhaustively
+inside one task; a larger node branches on one further coordinate chosen by the node's path, and in one node of
+three on a second, so a pair at the threshold keeps its expected number of common paths at every depth. With
+`trees` roots a pair of similarity s is missed with probability (1 - s)**trees where its nodes are leaves (2e-10
+at s = 0.75 and 16 trees), and with about 3e-7, 9e-6 and 7e-5 where all its nodes had to branch once, twice or
+three times.
 
 Groups of copies don't grow into pairs:
 * equal sets are one class from the start (grouped by a 128-bit digest of the set and its size);
-* before the trees, every class is compared with one hub, the smallest class that it shares most sketch
-  coordinates with; nodes whose classes are all connected already have nothing to find and are dropped,
-  so a group of near copies of any size costs a comparison or so for each member;
+* before the trees, every class is compared with one hub, the smallest class that it shares most minwise
+  tokens with; nodes whose classes are all connected already have nothing to find and are dropped, so a group
+  of near copies of any size costs a comparison or so for each member;
 * a branched node still too large at the last depth is compared in blocks of `leaf`, a task for each two.
 
+Within a node a pair goes on if its sizes allow the threshold and its range sketches do: the common elements
+can be no more than the equal bytes plus what each sketch hides (its set's size less its bytes in use), which
+is exact for small sets, and the share of equal bytes must be no less than 4.9 standard deviations below the
+threshold, which a pair at the threshold fails once in about a million.
+
 Sketches only propose pairs; a link needs 100 * |A & B| >= 100 * threshold * |A | B| on full shingle sets,
 counted from whole texts. Components of links are found by alternating star contraction.
 
@@ -25,6 +33,7 @@ out, with the same values; other columns of the input are ignored, whatever thei
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,19 +55,19 @@ def _sketches(k: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, sketch = [], [], [], []
+            n, d1, d2, keys, ranges = [], [], [], [], []
             for _, _, data, offsets in tk.chunks(batch.column("text")):
                 for s in tk.shingle_sets(tk.words(data, offsets, tk.SPACE), k):
                     n.append(len(s))
                     d1.append(s.sum(dtype=np.uint64))
                     d2.append(tk.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                    sketch.append(_minima(s, add, factor))
-            flat = np.concatenate(sketch).view(np.int64) if sketch else np.zeros(0, dtype=np.int64)
-            sizes = np.array([len(x) for x in sketch], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                    keys.append(_minima(s, add, factor))
+                    ranges.append(_range_sketch(s))
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("uid"), pa.array(np.array(n, dtype=np.int64)), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (d1, d2)), lists],
-                names=["doc_id", "uid", "n", "d1", "d2", "sk"],
+                [batch.column("doc_id"), batch.column("uid"), pa.array(np.array(n, dtype=np.int64)), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (d1, d2)), lists, pa.array(ranges, pa.binary())],
+                names=["doc_id", "uid", "n", "d1", "d2", "keys", "ranges"],
             )
 
     return run
@@ -75,6 +84,17 @@ def _minima(s: np.ndarray, add: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return low
 
 
+_STARTS = np.arange(256, dtype=np.uint64) << np.uint64(56)
+
+
+def _range_sketch(s: np.ndarray) -> bytes:
+    """A byte for each 256th of the hash space: 0 if no element is in it, else 1 to 255 by its least element. s is sorted."""
+    at = np.searchsorted(s, _STARTS)
+    least = s[np.minimum(at, len(s) - 1)] if len(s) else np.zeros(256, dtype=np.uint64)
+    full = (at < len(s)) & (least >> np.uint64(56) == np.arange(256, dtype=np.uint64))
+    return np.where(full, 1 + (least & np.uint64(0xFFFFFFFF)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+
+
 def _verified(k: int, threshold: float):
     percent = round(threshold * 10_000)
 
@@ -95,20 +115,31 @@ def _verified(k: int, threshold: float):
     return run
 
 
-def _leaf_pairs(threshold: float, floor: int):
-    """Pairs of different components within each node; rows arrive sorted by node."""
+def _leaf_pairs(threshold: float):
+    """Pairs of different components within each node; rows arrive sorted by node, in bounded nodes."""
 
     def compare(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        uid, comp, n, sk = (rows[c] for c in ("uid", "comp", "n", "sk"))
-        for at in range(0, len(uid), 256):
-            part = slice(at, at + 256)
-            same = np.zeros((len(uid[part]), len(uid)), dtype=np.int16)
-            for c in range(sk.shape[1]):
-                same += sk[part, c, None] == sk[None, :, c]
-            ok = (same >= floor) & (comp[part, None] != comp[None, :]) & (uid[part, None] < uid[None, :])
-            ok &= np.minimum(n[part, None], n[None, :]) >= threshold * np.maximum(n[part, None], n[None, :])
-            i, j = np.nonzero(ok)
-            yield uid[i + at], uid[j]
+        order = np.argsort(rows["n"], kind="stable")
+        uid, comp, n, own, sketch = (rows[c][order] for c in ("uid", "comp", "n", "own", "ranges"))
+        used = np.count_nonzero(sketch, axis=1)
+        hidden = n - used
+        end = np.searchsorted(n, n / threshold + 1e-6, side="right")
+        for first in range(0, len(n), 64):
+            last = min(first + 64, len(n))
+            reach = int(end[last - 1])
+            i, j = np.nonzero((np.arange(first, last)[:, None] < np.arange(first, reach)[None, :]) & (np.arange(first, reach)[None, :] < end[first:last, None]) & (comp[first:last, None] != comp[None, first:reach]))
+            i, j = i + first, j + first
+            # A pair meets in the band of its larger one; in the node of the next band it has been seen.
+            meets = np.maximum(own[i], own[j]) == rows["band"][0]
+            i, j = i[meets], j[meets]
+            for at in range(0, len(i), 16384):
+                x, y = i[at : at + 16384], j[at : at + 16384]
+                a, b = sketch[x], sketch[y]
+                equal = np.count_nonzero((a == b) & (a != 0), axis=1)
+                union = np.count_nonzero(a | b, axis=1)
+                most = equal + hidden[x] + hidden[y]
+                ok = (most >= threshold * (n[x] + n[y] - most)) & (equal >= threshold * union - 4.9 * np.sqrt(threshold * (1 - threshold) * union))
+                yield np.minimum(uid[x][ok], uid[y][ok]), np.maximum(uid[x][ok], uid[y][ok])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -120,8 +151,8 @@ def _leaf_pairs(threshold: float, floor: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {c: batch.column(c).to_numpy() for c in ("path", "uid", "comp", "n")}
-            rows["sk"] = batch.column("sk").flatten().to_numpy().reshape(batch.num_rows, -1)
+            rows = {c: batch.column(c).to_numpy() for c in ("path", "uid", "comp", "n", "own", "band")}
+            rows["ranges"] = np.frombuffer(b"".join(batch.column("ranges").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, 256)
             if held is not None:
                 rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
             cuts = np.flatnonzero(np.diff(rows["path"])) + 1
@@ -171,15 +202,15 @@ def near_duplicates(
     shingle: int = 5,
     threshold: float = 0.75,
     trees: int = 16,
-    sketch: int = 32,
-    leaf: int = 512,
-    depth: int = 4,
+    coordinates: int = 24,
+    leaf: int = 1024,
+    depth: int = 5,
 ) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest id reachable), kept."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = base.select("doc_id", _uid(F.col("doc_id"), F.col("text")).alias("uid"), "text")
-    rows = cut(keyed.mapInArrow(_sketches(shingle, sketch), "doc_id long, uid long, n long, d1 long, d2 long, sk array<long>"), "nd-sketch")
-    classes = cut(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.first("sk").alias("sk")), "nd-class")
+    rows = cut(keyed.mapInArrow(_sketches(shingle, coordinates), "doc_id long, uid long, n long, d1 long, d2 long, keys array<long>, ranges binary"), "nd-sketch")
+    classes = cut(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("ranges").alias("ranges")), "nd-class")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) of uids that pass on full sets."""
@@ -194,7 +225,7 @@ def near_duplicates(
 
     # Hubs: each class against the smallest class with which it shares most of half the roots' coordinates.
     half = max(1, trees // 2)
-    member = classes.select("uid", F.posexplode(F.slice("sk", 1, half)).alias("tree", "key"))
+    member = classes.select("uid", F.posexplode(F.slice("keys", 1, half)).alias("tree", "key"))
     hubs = cut(member.groupBy("tree", "key").agg(F.count("*").alias("c"), F.min("uid").alias("hub")).where("c > 1").drop("c"), "nd-hub")
     votes = member.join(hubs, ["tree", "key"]).where("hub < uid").groupBy("uid", "hub").count()
     stars = votes.groupBy("uid").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"), F.max("count").alias("c"))
@@ -202,32 +233,38 @@ def near_duplicates(
     first = links(stars, "nd-star")
     known = connected_components(first)
 
-    state = classes.join(known.select(F.col("id").alias("uid"), "comp"), "uid", "left")
-    state = cut(state.select("uid", F.coalesce("comp", "uid").alias("comp"), "n", "sk"), "nd-state")
-    light = F.struct("uid", "comp")
+    state = classes.select("uid", "n", "keys").join(known.select(F.col("id").alias("uid"), "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    width = -math.log(threshold) * (1 + 1e-9)
+    state = cut(state.withColumn("own", F.floor(F.log("n") / width).cast("int")), "nd-state")
+    light = F.struct("uid", "comp", "own", "band")
 
     # Trees: nodes of every tree together, a level at a time; only nodes of several components go on.
-    floor = _floor(sketch, threshold)
-    at = state.select("uid", "comp", F.posexplode(F.slice("sk", 1, trees)).alias("tree", "key")).select(F.xxhash64("tree", "key").alias("path"), light.alias("m"))
+    root = state.select("uid", "comp", "own", F.lit(0).alias("band"), F.posexplode(F.slice("keys", 1, trees)).alias("tree", "key"))
+    at = root.select(F.xxhash64("tree", "key").alias("path"), light.alias("m"))
     found = None
     for level in range(depth + 1):
         nodes = at.groupBy("path").agg(F.count("*").alias("c"), F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi")).where("c > 1 and lo <> hi").select("path", "c")
         nodes = cut(nodes, "nd-node")
-        members = at.join(nodes, "path").select("path", "c", "m.uid")
+        members = at.join(nodes, "path").select("path", "c", "m.*")
+        if level == 0:
+            bands = members.select("path", "uid", "comp", "own", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+            at = cut(bands.select(F.xxhash64("path", "band").alias("path"), light.alias("m")), "nd-band")
+            continue
         cold = members if level == depth else members.where(F.col("c") <= leaf)
         if level == depth:
             blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / (leaf // 2)).cast("int"))
-            cold = cold.select("path", "uid", F.pmod(F.xxhash64("uid", "path"), blocks).alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            cold = cold.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "uid")
-        here = cold.select("path", "uid").join(state, "uid").repartition("path").sortWithinPartitions("path")
-        here = here.select("path", "uid", "comp", "n", "sk").mapInArrow(_leaf_pairs(threshold, floor), "a long, b long")
+            cold = cold.select("path", "uid", "comp", "own", "band", F.pmod(F.xxhash64("uid", "path"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            cold = cold.withColumn("path", F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))
+        here = cold.select("path", "uid", "comp", "own", "band").join(classes.select("uid", "n", "ranges"), "uid").repartition("path").sortWithinPartitions("path")
+        here = here.select("path", "uid", "comp", "n", "own", "band", "ranges").mapInArrow(_leaf_pairs(threshold), "a long, b long")
         found = here if found is None else found.union(here)
-        hot = nodes.where(F.col("c") > leaf)
-        if level == depth or hot.isEmpty():
+        if level == depth or nodes.where(F.col("c") > leaf).isEmpty():
             break
-        chosen = members.where(F.col("c") > leaf).select("path", "uid", F.explode(F.array(F.lit(0), F.lit(1))).alias("branch"))
-        chosen = chosen.withColumn("coordinate", F.pmod(F.xxhash64("path", "branch"), F.lit(sketch)).cast("int"))
-        at = chosen.join(state, "uid").select(F.xxhash64("path", "branch", F.element_at("sk", F.col("coordinate") + 1)).alias("path"), light.alias("m"))
+        second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(3)) == 0
+        branches = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        chosen = members.where(F.col("c") > leaf).select("path", "uid", "comp", "own", "band", F.explode(branches).alias("branch"))
+        chosen = chosen.withColumn("coordinate", F.pmod(F.xxhash64("path", "branch"), F.lit(coordinates)).cast("int"))
+        at = chosen.join(state.select("uid", "keys"), "uid").select(F.xxhash64("path", "branch", F.element_at("keys", F.col("coordinate") + 1)).alias("path"), light.alias("m"))
         at = cut(at, "nd-branch")
     pairs = cut(found.distinct(), "nd-pair")
     edges = first.union(links(pairs, "nd-pair"))
@@ -242,11 +279,6 @@ def near_duplicates(
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()).alias("kept"))
 
 
-def _floor(size: int, threshold: float) -> int:
-    """Common sketch coordinates that a pair at the threshold reaches but for one in about a million."""
-    return max(1, int(size * threshold - 4.9 * (size * threshold * (1 - threshold)) ** 0.5))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents with one of each near-duplicate component left, all columns as they came."""
     judged = cut(near_duplicates(docs, id_col, text_col, **settings), "nd-judged")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratelens.llm import textkernel as tk
 from ratelens.llm.sampling import labelled_texts, remainder
@@ -212,5 +213,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_o
     shared = docs.sparkSession.sparkContext.broadcast(small)
     text = F.col(settings.get("text_col", "text")).cast("string")
     carried = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), *(F.col(c).cast("double").alias(n) for c, n in zip(metadata, names)))
-    kind = carried.schema["row"].dataType.simpleString()
-    return carried.mapInArrow(_scores(shared, names), f"row {kind}, score double").where(F.col("score") >= threshold).select("row.*")
+    schema = T.StructType([carried.schema["row"], T.StructField("score", T.DoubleType())])
+    return carried.mapInArrow(_scores(shared, names), schema).where(F.col("score") >= threshold).select("row.*")
