@@ -16,6 +16,11 @@ def simple_interest(amount: Column, rate_pct: Column, days: Column) -> Column:
     return F.when((money >= 0) & (rate >= 0) & (term >= 0), income).cast("decimal(20,2)")
 
 
+def to_cents(amount: Column, places: int = 2) -> Column:
+    """Half-up rounding of a computed double: a nudge of 1e-7 puts values that are halves but for binary noise above the half."""
+    return F.round(amount + 1e-7, places)
+
+
 def months_to_days(months: Column) -> Column:
     """Months as days, half up: 3 -> 91, 6 -> 183, 12 -> 365."""
     return F.round(months.cast("decimal(8,0)") * 365 / 12, 0).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ratelens.functions.finance import to_cents
 from ratelens.operators import market, quality
 from ratelens.plans.registry import query
 from ratelens.sources.tables import table
@@ -285,10 +286,10 @@ def analogue_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("home_product").alias("home_part"), "bank", F.col("rival_product").alias("rival_part"), "rate", F.col("score").cast("long").alias("score"), (F.col("score") >= 2).alias("close"))
 
 
-@query("history_mean_series", f"WITH {OFFERS} SELECT bank, strftime(l_shipdate, '%Y-%m-01') AS run_month, round(avg(rate), 2) AS mean_rate, count(*) AS offers FROM offers GROUP BY 1, 2")
+@query("history_mean_series", f"WITH {OFFERS} SELECT bank, strftime(l_shipdate, '%Y-%m-01') AS run_month, round(avg(rate) + 1e-7, 2) AS mean_rate, count(*) AS offers FROM offers GROUP BY 1, 2")
 def history_mean_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offers(spark, sf_dir)
-    return rows.groupBy("bank", F.date_format("l_shipdate", "yyyy-MM-01").alias("run_month")).agg(F.round(F.avg("rate"), 2).alias("mean_rate"), F.count("*").alias("offers"))
+    return rows.groupBy("bank", F.date_format("l_shipdate", "yyyy-MM-01").alias("run_month")).agg(to_cents(F.avg("rate")).alias("mean_rate"), F.count("*").alias("offers"))
 
 
 @query(
