@@ -2,14 +2,15 @@
 
 Each document is the set of its k-word shingles and carries two sketches: `coordinates` minwise tokens, the
 paths to choose from, and the least shingle of each of 256 equal ranges of the hash space, a byte each, to
-compare by. An independent tree starts from one coordinate: documents that share the chosen minwise token share
-a node. Below the root, a node is split by size bands: a document goes to its own band and the next, so any two
-whose sizes allow the threshold still meet. A node of at most `leaf` documents is then compared exhaustively
-inside one task; a larger node branches on one further coordinate chosen by the node's path, and in one node of
-three on a second, so a pair at the threshold keeps its expected number of common paths at every depth. With
-`trees` roots a pair of similarity s is missed with probability (1 - s)**trees where its nodes are leaves (2e-10
-at s = 0.75 and 16 trees), and with about 3e-7, 9e-6 and 7e-5 where all its nodes had to branch once, twice or
-three times.
+compare by. An independent tree starts with a path of two coordinates of its own: documents that share both
+minwise tokens share a node. Below, a node is split by size bands: a document goes to its own band and the
+next, so any two whose sizes allow the threshold still meet. A node of at most `leaf` documents is then compared
+exhaustively inside one task; a larger node branches on one further coordinate chosen by the node's path, and
+in one node of three on a second, so a pair at the threshold keeps its expected number of common paths at every
+depth. Where its nodes are leaves a pair of similarity s is missed by all trees with probability
+(1 - s**2)**trees: 2e-6 at s = 0.75 and 16 trees, 8e-8 at 0.8. Where all its nodes had to branch (more than
+`leaf` documents of one size band and several components share the path) the chance is higher: some 1e-4 for
+one branching at the threshold itself. A component is found by any of its links that connect it.
 
 Groups of copies don't grow into pairs:
 * equal sets are one class from the start (grouped by a 128-bit digest of the set and its size);
@@ -27,7 +28,7 @@ Sketches only propose pairs; a link needs 100 * |A & B| >= 100 * threshold * |A
 counted from whole texts. Components of links are found by alternating star contraction.
 
 Defined results: a null or wordless text has no shingles and no link; a null id keeps its row, has
-component_id null unless its text equals or links to one with an id, and is kept; repeated rows each come
+component_id null unless its text equals or links to one with an id, and is kept only where that is null; repeated rows each come
 out, with the same values; other columns of the input are ignored, whatever their names.
 """
 
@@ -55,7 +56,7 @@ def _sketches(k: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, keys, ranges = [], [], [], [], []
+            n, d1, d2, keys, ranges, marks = [], [], [], [], [], []
             for _, _, data, offsets in tk.chunks(batch.column("text")):
                 for s in tk.shingle_sets(tk.words(data, offsets, tk.SPACE), k):
                     n.append(len(s))
@@ -63,11 +64,12 @@ def _sketches(k: int, size: int):
                     d2.append(tk.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
                     keys.append(_minima(s, add, factor))
                     ranges.append(_range_sketch(s))
+                    marks.append(tk.mix(keys[-1][0::2] ^ (keys[-1][1::2] << np.uint64(1))).astype(np.uint32).tobytes())
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("uid"), pa.array(np.array(n, dtype=np.int64)), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (d1, d2)), lists, pa.array(ranges, pa.binary())],
-                names=["doc_id", "uid", "n", "d1", "d2", "keys", "ranges"],
+                [batch.column("doc_id"), batch.column("uid"), pa.array(np.array(n, dtype=np.int64)), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (d1, d2)), lists, pa.array(ranges, pa.binary()), pa.array(marks, pa.binary())],
+                names=["doc_id", "uid", "n", "d1", "d2", "keys", "ranges", "marks"],
             )
 
     return run
@@ -120,7 +122,8 @@ def _leaf_pairs(threshold: float):
 
     def compare(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(rows["n"], kind="stable")
-        uid, comp, n, own, sketch = (rows[c][order] for c in ("uid", "comp", "n", "own", "ranges"))
+        uid, comp, n, own, sketch, marks = (rows[c][order] for c in ("uid", "comp", "n", "own", "ranges", "marks"))
+        tree, hot = rows["tree"][0], rows["hot"][order]
         used = np.count_nonzero(sketch, axis=1)
         hidden = n - used
         end = np.searchsorted(n, n / threshold + 1e-6, side="right")
@@ -139,7 +142,12 @@ def _leaf_pairs(threshold: float):
                 union = np.count_nonzero(a | b, axis=1)
                 most = equal + hidden[x] + hidden[y]
                 ok = (most >= threshold * (n[x] + n[y] - most)) & (equal >= threshold * union - 4.9 * np.sqrt(threshold * (1 - threshold) * union))
-                yield np.minimum(uid[x][ok], uid[y][ok]), np.maximum(uid[x][ok], uid[y][ok])
+                x, y = x[ok], y[ok]
+                if tree >= 0 and len(x):
+                    # Of the trees whose leaves hold both, the first one speaks.
+                    shared = (marks[x] == marks[y]) & ((hot[x][:, None] >> np.arange(marks.shape[1])) & 1 == 0)
+                    x, y = x[shared.argmax(axis=1) == tree], y[shared.argmax(axis=1) == tree]
+                yield np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -151,7 +159,8 @@ def _leaf_pairs(threshold: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {c: batch.column(c).to_numpy() for c in ("path", "uid", "comp", "n", "own", "band")}
+            rows = {c: batch.column(c).to_numpy() for c in ("path", "uid", "comp", "n", "own", "band", "tree", "hot")}
+            rows["marks"] = np.frombuffer(b"".join(batch.column("marks").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
             rows["ranges"] = np.frombuffer(b"".join(batch.column("ranges").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, 256)
             if held is not None:
                 rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
@@ -202,15 +211,19 @@ def near_duplicates(
     shingle: int = 5,
     threshold: float = 0.75,
     trees: int = 16,
-    coordinates: int = 24,
     leaf: int = 1024,
     depth: int = 5,
 ) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest id reachable), kept."""
+    return _judged(docs, id_col, text_col, shingle, threshold, trees, leaf, depth).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.75, trees: int = 16, leaf: int = 1024, depth: int = 5) -> DataFrame:
+    """near_duplicates with uid, a hash of id and text."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = base.select("doc_id", _uid(F.col("doc_id"), F.col("text")).alias("uid"), "text")
-    rows = cut(keyed.mapInArrow(_sketches(shingle, coordinates), "doc_id long, uid long, n long, d1 long, d2 long, keys array<long>, ranges binary"), "nd-sketch")
-    classes = cut(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("ranges").alias("ranges")), "nd-class")
+    rows = cut(keyed.mapInArrow(_sketches(shingle, 2 * trees), "doc_id long, uid long, n long, d1 long, d2 long, keys array<long>, ranges binary, marks binary"), "nd-sketch")
+    classes = cut(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("ranges").alias("ranges"), F.first("marks").alias("marks")), "nd-class")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) of uids that pass on full sets."""
@@ -236,34 +249,41 @@ def near_duplicates(
     state = classes.select("uid", "n", "keys").join(known.select(F.col("id").alias("uid"), "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     width = -math.log(threshold) * (1 + 1e-9)
     state = cut(state.withColumn("own", F.floor(F.log("n") / width).cast("int")), "nd-state")
-    light = F.struct("uid", "comp", "own", "band")
+    light = F.struct("uid", "comp", "own", "band", "tree")
 
     # Trees: nodes of every tree together, a level at a time; only nodes of several components go on.
-    root = state.select("uid", "comp", "own", F.lit(0).alias("band"), F.posexplode(F.slice("keys", 1, trees)).alias("tree", "key"))
-    at = root.select(F.xxhash64("tree", "key").alias("path"), light.alias("m"))
+    paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("keys", 2 * t), F.get("keys", 2 * t + 1)))
+    root = state.select("uid", "comp", "own", F.lit(0).alias("band"), F.posexplode(paths).alias("tree", "path"))
+    at = root.select("path", light.alias("m"))
     found = None
     for level in range(depth + 1):
         nodes = at.groupBy("path").agg(F.count("*").alias("c"), F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi")).where("c > 1 and lo <> hi").select("path", "c")
         nodes = cut(nodes, "nd-node")
         members = at.join(nodes, "path").select("path", "c", "m.*")
         if level == 0:
-            bands = members.select("path", "uid", "comp", "own", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+            bands = members.select("path", "uid", "comp", "own", "tree", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
             at = cut(bands.select(F.xxhash64("path", "band").alias("path"), light.alias("m")), "nd-band")
             continue
         cold = members if level == depth else members.where(F.col("c") <= leaf)
         if level == depth:
             blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / (leaf // 2)).cast("int"))
-            cold = cold.select("path", "uid", "comp", "own", "band", F.pmod(F.xxhash64("uid", "path"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            cold = cold.select("path", "uid", "comp", "own", "band", "tree", F.pmod(F.xxhash64("uid", "path"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             cold = cold.withColumn("path", F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))
-        here = cold.select("path", "uid", "comp", "own", "band").join(classes.select("uid", "n", "ranges"), "uid").repartition("path").sortWithinPartitions("path")
-        here = here.select("path", "uid", "comp", "n", "own", "band", "ranges").mapInArrow(_leaf_pairs(threshold), "a long, b long")
+        large = level < depth and not nodes.where(F.col("c") > leaf).isEmpty()
+        if level == 1 and large:
+            branched = members.where(F.col("c") > leaf).groupBy("uid", "band").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("hot"))
+            cold = cold.join(branched, ["uid", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
+        else:
+            cold = cold.withColumn("hot", F.lit(0).cast("long"))
+        here = cold.select("path", "uid", "comp", "own", "band", F.col("tree").cast("int").alias("tree"), "hot").join(classes.select("uid", "n", "ranges", "marks"), "uid").repartition("path").sortWithinPartitions("path")
+        here = here.select("path", "uid", "comp", "n", "own", "band", "tree", "hot", "ranges", "marks").mapInArrow(_leaf_pairs(threshold), "a long, b long")
         found = here if found is None else found.union(here)
-        if level == depth or nodes.where(F.col("c") > leaf).isEmpty():
+        if not large:
             break
         second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(3)) == 0
         branches = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        chosen = members.where(F.col("c") > leaf).select("path", "uid", "comp", "own", "band", F.explode(branches).alias("branch"))
-        chosen = chosen.withColumn("coordinate", F.pmod(F.xxhash64("path", "branch"), F.lit(coordinates)).cast("int"))
+        chosen = members.where(F.col("c") > leaf).select("path", "uid", "comp", "own", "band", F.lit(-1).alias("tree"), F.explode(branches).alias("branch"))
+        chosen = chosen.withColumn("coordinate", F.pmod(F.xxhash64("path", "branch"), F.lit(2 * trees)).cast("int"))
         at = chosen.join(state.select("uid", "keys"), "uid").select(F.xxhash64("path", "branch", F.element_at("keys", F.col("coordinate") + 1)).alias("path"), light.alias("m"))
         at = cut(at, "nd-branch")
     pairs = cut(found.distinct(), "nd-pair")
@@ -274,19 +294,22 @@ def near_duplicates(
     labelled = cut(labelled.drop("uid"), "nd-label")
     lowest = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     label = cut(labelled.join(lowest, "comp").select("d1", "d2", "n", "component_id"), "nd-class-id")
-    alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    linked = rows.where("n > 0").select("doc_id", "d1", "d2", "n").join(label, ["d1", "d2", "n"]).select("doc_id", "n", "component_id")
-    return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()).alias("kept"))
+    alone = rows.where("n = 0").select("doc_id", "uid", "n", F.col("doc_id").alias("component_id"))
+    linked = rows.where("n > 0").select("doc_id", "uid", "d1", "d2", "n").join(label, ["d1", "d2", "n"]).select("doc_id", "uid", "n", "component_id")
+    return linked.union(alone).select("doc_id", "uid", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents with one of each near-duplicate component left, all columns as they came."""
-    judged = cut(near_duplicates(docs, id_col, text_col, **settings), "nd-judged")
-    kept = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("__copies"))
-    kept = cut(kept, "nd-kept")
-    with_id = docs.join(kept.where("__copies = 1").select(F.col("doc_id").alias("__kept_id")), F.col(id_col).cast("long") == F.col("__kept_id"), "left_semi")
-    repeated = kept.where("__copies > 1 and doc_id is not null").select(F.col("doc_id").alias("__kept_id"))
-    if not repeated.isEmpty():
-        again = docs.join(repeated, F.col(id_col).cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-        with_id = with_id.unionByName(again)
-    return with_id.unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents with one of each near-duplicate component left, all columns as they came.
+
+    Of repeated rows with one id one stays; rows without an id stay once for each text, if not linked to a row with one.
+    """
+    kept = cut(_judged(docs, id_col, text_col, **settings).where("kept").select("doc_id", "uid"), "nd-kept")
+    chosen = kept.groupBy(F.coalesce(F.col("doc_id"), F.col("uid")).alias("k"), F.col("doc_id").isNull().alias("named")).agg(F.min("uid").alias("__uid"), F.count("*").alias("__rows"))
+    chosen = cut(chosen.select("__uid", "__rows"), "nd-chosen")
+    key = _uid(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    single = docs.join(chosen.where("__rows = 1").select("__uid"), key == F.col("__uid"), "left_semi")
+    if chosen.where("__rows > 1").isEmpty():
+        return single
+    repeated = docs.withColumn("__key", key).join(chosen.where("__rows > 1").select("__uid"), F.col("__key") == F.col("__uid"), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return single.unionByName(repeated)

@@ -117,7 +117,7 @@ def train(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, wid
     rng = np.random.default_rng(seed)
     model = {"b": 0.0, "w": np.zeros(width), "v": rng.normal(0, 0.02, (FACTORS, width))}
     if not len(labels) or labels.min() == labels.max():
-        return model
+        return model | {"v": np.zeros_like(model["v"])}
     seen = {"b": 1e-6, "w": np.full(width, 1e-6), "v": np.full((FACTORS, width), 1e-6)}
     for _ in range(epochs):
         order = rng.permutation(len(labels))
