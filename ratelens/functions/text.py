@@ -157,7 +157,7 @@ def html_to_text(html: Column) -> Column:
     """Visible text: scripts, styles and comments away, table cells and blocks apart, entities resolved, blanks squeezed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|head)\b.*?</\1\s*>|<!--.*?-->", " ")
     rows = F.regexp_replace(F.regexp_replace(bare, r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | "), r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n")
-    text = F.regexp_replace(rows, r"<[^>]*>", " ")
+    text = F.regexp_replace(rows, r"<[^<>]*>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")):
         text = F.regexp_replace(text, a, b)
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r ]+", " "), r" ?\n[\n ]*", "\n"))
