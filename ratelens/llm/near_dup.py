@@ -17,12 +17,14 @@ Groups of copies don't grow into pairs:
 * before the trees, every class is compared with one hub, the smallest class that it shares most minwise
   tokens with; nodes whose classes are all connected already have nothing to find and are dropped, so a group
   of near copies of any size costs a comparison or so for each member;
+* the trees run twice: in the first run each document of a node proposes its most similar partner of another
+  component only; the second run proposes all pairs of what are still different components;
 * a branched node still too large at the last depth is compared in blocks of `leaf`, a task for each two.
 
 Within a node a pair goes on if its sizes allow the threshold and its range sketches do: the common elements
 can be no more than the equal bytes plus what each sketch hides (its set's size less its bytes in use), which
-is exact for small sets, and the share of equal bytes must be no less than 4.9 standard deviations below the
-threshold, which a pair at the threshold fails once in about a million.
+is exact for small sets, and the share of equal bytes must be no less than 4.9 standard deviations (of a
+sample without replacement) below the threshold, which a pair at the threshold fails once in about a million.
 
 Sketches only propose pairs; a link needs 100 * |A & B| >= 100 * threshold * |A | B| on full shingle sets,
 counted from whole texts. Components of links are found by alternating star contraction.
@@ -117,8 +119,11 @@ def _verified(k: int, threshold: float):
     return run
 
 
-def _leaf_pairs(threshold: float):
-    """Pairs of different components within each node; rows arrive sorted by node, in bounded nodes."""
+def _leaf_pairs(threshold: float, nearest: bool):
+    """Pairs of different components within each node; rows arrive sorted by node, in bounded nodes.
+
+    nearest: only the pair of each document with its most similar partner.
+    """
 
     def compare(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(rows["n"], kind="stable")
@@ -127,6 +132,7 @@ def _leaf_pairs(threshold: float):
         used = np.count_nonzero(sketch, axis=1)
         hidden = n - used
         end = np.searchsorted(n, n / threshold + 1e-6, side="right")
+        near: list[tuple[np.ndarray, ...]] = []
         for first in range(0, len(n), 64):
             last = min(first + 64, len(n))
             reach = int(end[last - 1])
@@ -141,13 +147,24 @@ def _leaf_pairs(threshold: float):
                 equal = np.count_nonzero((a == b) & (a != 0), axis=1)
                 union = np.count_nonzero(a | b, axis=1)
                 most = equal + hidden[x] + hidden[y]
-                ok = (most >= threshold * (n[x] + n[y] - most)) & (equal >= threshold * union - 4.9 * np.sqrt(threshold * (1 - threshold) * union))
-                x, y = x[ok], y[ok]
+                # The ranges sample the union without replacement: what they leave out bounds the error.
+                left_out = np.maximum(0.0, 1 - union * (1 + threshold) / (n[x] + n[y]))
+                ok = (most >= threshold * (n[x] + n[y] - most)) & (equal >= threshold * union - 4.9 * np.sqrt(threshold * (1 - threshold) * union * left_out) - 1e-9)
+                x, y, alike = x[ok], y[ok], (equal / np.maximum(1, union))[ok]
+                if nearest:
+                    near.append((x, y, alike))
+                    continue
                 if tree >= 0 and len(x):
                     # Of the trees whose leaves hold both, the first one speaks.
                     shared = (marks[x] == marks[y]) & ((hot[x][:, None] >> np.arange(marks.shape[1])) & 1 == 0)
                     x, y = x[shared.argmax(axis=1) == tree], y[shared.argmax(axis=1) == tree]
                 yield np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])
+        if near:
+            x, y, alike = (np.concatenate(c) for c in zip(*near))
+            both, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((pair, -np.tile(alike, 2), both))
+            best = np.unique(pair[order][np.unique(both[order], return_index=True)[1]])
+            yield np.minimum(uid[x[best]], uid[y[best]]), np.maximum(uid[x[best]], uid[y[best]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -244,50 +261,55 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     stars = votes.groupBy("uid").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"), F.max("count").alias("c"))
     stars = cut(stars.where(F.col("c") >= half * 3 // 8).select(F.col("uid").alias("a"), F.col("hub").alias("b")), "nd-star")
     first = links(stars, "nd-star")
-    known = connected_components(first)
-
-    state = classes.select("uid", "n", "keys").join(known.select(F.col("id").alias("uid"), "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    width = -math.log(threshold) * (1 + 1e-9)
-    state = cut(state.withColumn("own", F.floor(F.log("n") / width).cast("int")), "nd-state")
-    light = F.struct("uid", "comp", "own", "band", "tree")
-
-    # Trees: nodes of every tree together, a level at a time; only nodes of several components go on.
-    paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("keys", 2 * t), F.get("keys", 2 * t + 1)))
-    root = state.select("uid", "comp", "own", F.lit(0).alias("band"), F.posexplode(paths).alias("tree", "path"))
-    at = root.select("path", light.alias("m"))
-    found = None
-    for level in range(depth + 1):
-        nodes = at.groupBy("path").agg(F.count("*").alias("c"), F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi")).where("c > 1 and lo <> hi").select("path", "c")
-        nodes = cut(nodes, "nd-node")
-        members = at.join(nodes, "path").select("path", "c", "m.*")
-        if level == 0:
-            bands = members.select("path", "uid", "comp", "own", "tree", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
-            at = cut(bands.select(F.xxhash64("path", "band").alias("path"), light.alias("m")), "nd-band")
-            continue
-        cold = members if level == depth else members.where(F.col("c") <= leaf)
-        if level == depth:
-            blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / (leaf // 2)).cast("int"))
-            cold = cold.select("path", "uid", "comp", "own", "band", "tree", F.pmod(F.xxhash64("uid", "path"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            cold = cold.withColumn("path", F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))
-        large = level < depth and not nodes.where(F.col("c") > leaf).isEmpty()
-        if level == 1 and large:
-            branched = members.where(F.col("c") > leaf).groupBy("uid", "band").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("hot"))
-            cold = cold.join(branched, ["uid", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
-        else:
-            cold = cold.withColumn("hot", F.lit(0).cast("long"))
-        here = cold.select("path", "uid", "comp", "own", "band", F.col("tree").cast("int").alias("tree"), "hot").join(classes.select("uid", "n", "ranges", "marks"), "uid").repartition("path").sortWithinPartitions("path")
-        here = here.select("path", "uid", "comp", "n", "own", "band", "tree", "hot", "ranges", "marks").mapInArrow(_leaf_pairs(threshold), "a long, b long")
-        found = here if found is None else found.union(here)
-        if not large:
-            break
-        second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(3)) == 0
-        branches = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        chosen = members.where(F.col("c") > leaf).select("path", "uid", "comp", "own", "band", F.lit(-1).alias("tree"), F.explode(branches).alias("branch"))
-        chosen = chosen.withColumn("coordinate", F.pmod(F.xxhash64("path", "branch"), F.lit(2 * trees)).cast("int"))
-        at = chosen.join(state.select("uid", "keys"), "uid").select(F.xxhash64("path", "branch", F.element_at("keys", F.col("coordinate") + 1)).alias("path"), light.alias("m"))
-        at = cut(at, "nd-branch")
-    pairs = cut(found.distinct(), "nd-pair")
-    edges = first.union(links(pairs, "nd-pair"))
+
+    def tree_pairs(edges: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs (a, b) of different components of the edges that meet in a leaf and may be links."""
+        state = classes.select("uid", "n", "keys").join(connected_components(edges).select(F.col("id").alias("uid"), "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+        width = -math.log(threshold) * (1 + 1e-9)
+        state = cut(state.withColumn("own", F.floor(F.log("n") / width).cast("int")), "nd-state")
+        light = F.struct("uid", "comp", "own", "band", "tree")
+
+        # Trees: nodes of every tree together, a level at a time; only nodes of several components go on.
+        paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("keys", 2 * t), F.get("keys", 2 * t + 1)))
+        root = state.select("uid", "comp", "own", F.lit(0).alias("band"), F.posexplode(paths).alias("tree", "path"))
+        at = root.select("path", light.alias("m"))
+        found = None
+        for level in range(depth + 1):
+            nodes = at.groupBy("path").agg(F.count("*").alias("c"), F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi")).where("c > 1 and lo <> hi").select("path", "c")
+            nodes = cut(nodes, "nd-node")
+            members = at.join(nodes, "path").select("path", "c", "m.*")
+            if level == 0:
+                bands = members.select("path", "uid", "comp", "own", "tree", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+                at = cut(bands.select(F.xxhash64("path", "band").alias("path"), light.alias("m")), "nd-band")
+                continue
+            cold = members if level == depth else members.where(F.col("c") <= leaf)
+            if level == depth:
+                blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / (leaf // 2)).cast("int"))
+                cold = cold.select("path", "uid", "comp", "own", "band", "tree", F.pmod(F.xxhash64("uid", "path"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+                cold = cold.withColumn("path", F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))
+            large = level < depth and not nodes.where(F.col("c") > leaf).isEmpty()
+            if level == 1 and large:
+                branched = members.where(F.col("c") > leaf).groupBy("uid", "band").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("hot"))
+                cold = cold.join(branched, ["uid", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
+            else:
+                cold = cold.withColumn("hot", F.lit(0).cast("long"))
+            here = cold.select("path", "uid", "comp", "own", "band", F.col("tree").cast("int").alias("tree"), "hot").join(classes.select("uid", "n", "ranges", "marks"), "uid").repartition("path").sortWithinPartitions("path")
+            here = here.select("path", "uid", "comp", "n", "own", "band", "tree", "hot", "ranges", "marks").mapInArrow(_leaf_pairs(threshold, nearest), "a long, b long")
+            found = here if found is None else found.union(here)
+            if not large:
+                break
+            second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(3)) == 0
+            branches = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+            chosen = members.where(F.col("c") > leaf).select("path", "uid", "comp", "own", "band", F.lit(-1).alias("tree"), F.explode(branches).alias("branch"))
+            chosen = chosen.withColumn("coordinate", F.pmod(F.xxhash64("path", "branch"), F.lit(2 * trees)).cast("int"))
+            at = chosen.join(state.select("uid", "keys"), "uid").select(F.xxhash64("path", "branch", F.element_at("keys", F.col("coordinate") + 1)).alias("path"), light.alias("m"))
+            at = cut(at, "nd-branch")
+        return cut(found.distinct(), "nd-pair")
+
+    # First each document with its nearest partner, then all pairs of what are still different components.
+    edges = first
+    for nearest in (True, False):
+        edges = edges.union(links(tree_pairs(edges, nearest), "nd-pair"))
 
     final = connected_components(edges).select(F.col("id").alias("uid"), "comp")
     labelled = classes.select("uid", "d1", "d2", "n", "first_id").join(final, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
