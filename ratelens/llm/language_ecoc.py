@@ -7,9 +7,9 @@ the training rows, as log odds) times the logistic loss of the classifier's outp
 the cheapest codeword wins. The score is its share under a softmax of negative costs; a text is ambiguous if the
 second codeword costs at most `margin` of the cost's scale more.
 
-Training takes at most about `per_language` rows of each language (parameter, 600), chosen by a hash of the
-id, and at most `bound` in all (3000); it sees text and language only. Whole texts are read, once, without a
-shuffle.
+Training takes at most `per_language` rows of each language (parameter, 600), the lowest by a hash of the id,
+and at most `bound` in all (3000): where that is too few, all languages are cut to the same number of rows, so
+that rare ones keep theirs. It sees text and language only. Whole texts are read, once, without a shuffle.
 
 Defined results: a text that is null or has no letter is `und` with score 0; with no labelled rows all texts are
 `und`; with one language every text with a letter has it, with score 1; languages equally cheap go to the lower
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm import textkernel as tk
@@ -153,19 +153,27 @@ def _predictions(shared, margin: float):
     return run
 
 
+def rows_each(counts: list[int], per_language: int, bound: int) -> int:
+    """The largest number of rows, up to per_language, that every language may have without more than bound in all."""
+    return next((n for n in range(per_language, 1, -1) if sum(min(c, n) for c in counts) <= bound), 1)
+
+
 def fit(docs: DataFrame, held_out: int = 1, modulus: int = 3, per_language: int = 600, bound: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """The model, from a bounded sample of the documents with a language outside the held-out fold."""
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
-    counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bound).collect()}
-    if not counts:
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("rows"), "lang").limit(bound).collect()
+    if not sizes:
         return {"langs": []}
+    each = rows_each([r["rows"] for r in sizes], per_language, bound)
     draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000))
-    ceiling = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1_000_000, 1 + 1_000_000 * per_language / n)))])
-    chosen = ids.where(draw < ceiling[F.col("lang")]).orderBy(draw, "doc_id").limit(bound)
+    # Twice the rows needed, so that numbering them within a language sorts a small table.
+    ceiling = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], int(min(1_000_000, 1 + 1_000_000 * (2 * each + 50) / r["ids"])))])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
+    chosen = ids.where(draw < ceiling[F.col("lang")]).distinct().withColumn("place", place).where(F.col("place") <= each)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    rows = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").where("lang is not null")
-    found = rows.select("doc_id", "lang", "text").mapInArrow(_vectors(), "doc_id long, lang string, x binary").toArrow()
-    kept = sorted((i, lang, x) for i, lang, x in zip(found["doc_id"].to_pylist(), found["lang"].to_pylist(), found["x"].to_pylist()) if x)[:bound]
+    rows = texts.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
+    found = rows.mapInArrow(_vectors(), "doc_id long, lang string, x binary").groupBy("doc_id", "lang").agg(F.max("x").alias("x")).toArrow()
+    kept = sorted((i, lang, x) for i, lang, x in zip(found["doc_id"].to_pylist(), found["lang"].to_pylist(), found["x"].to_pylist()) if x)
     if not kept:
         return {"langs": []}
     x = np.stack([np.frombuffer(r[2], dtype=np.float16) for r in kept]).astype(np.float32)

@@ -99,6 +99,18 @@ def test_language_corner_cases(frames, spark):
     assert language_ecoc.identify(docs.limit(0)).collect() == []
 
 
+def test_rare_language_is_learned_beside_six_large_ones(spark):
+    rng, rows = random.Random(3), []
+    for lang, letters, n in [*zip("abcdef", ("abc", "def", "ghi", "jkl", "mno", "pqr"), [600] * 6), ("rare", "stu", 18)]:
+        words = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)]
+        rows += [(len(rows) + i + 5000, " ".join(rng.choices(words, k=20)), lang) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_ecoc.fit(docs, per_language=20, bound=60)["langs"] == [*"abcdef", "rare"]
+    held = language_ecoc.identify(docs, per_language=20, bound=60).join(docs, "doc_id").where("held_out and lang = 'rare'").collect()
+    assert held and all(r.lang_pred == "rare" for r in held)
+    assert language_ecoc.rows_each([10_000] * 6 + [12], 600, 3000) == 498
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 20])
 def test_codewords_differ(n):
     code = language_ecoc.codewords(n)
