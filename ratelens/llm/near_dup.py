@@ -53,6 +53,9 @@ from ratelens.sources.tables import cut, drop
 #: Keys of rows (16 bytes each) are broadcast to filter texts only up to this many; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
+#: Words of the whole texts that a leaf may hold.
+LEAF_WORDS = 4_000_000
+
 RANGES = 512
 COORDINATES = 24
 
@@ -279,12 +282,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.75, trees: int = 12, leaf: int = 1024, depth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.75, trees: int = 12, leaf: int = 4096, depth: int = 8) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest id reachable), kept."""
     return _judged(docs, id_col, text_col, shingle, threshold, trees, leaf, depth).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.75, trees: int = 12, leaf: int = 1024, depth: int = 8) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.75, trees: int = 12, leaf: int = 4096, depth: int = 8) -> DataFrame:
     """near_duplicates with the row key of id and text."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = base.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k"), "text").select("doc_id", "k.k1", "k.k2", "text")
@@ -316,7 +319,7 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     # The root branches: a node for each minwise token of each tree's coordinate that two classes share.
     paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("keys", t)))
-    at = classes.select("uid", F.explode(paths).alias("path"))
+    at = classes.select("uid", "n", F.explode(paths).alias("path"))
     nodes = cut(at.groupBy("path").agg(F.count("*").alias("c"), F.min("uid").alias("hub")).where("c > 1"), "nd-node")
     members = cut(at.join(nodes.select("path", "hub"), "path"), "nd-member")
     drop(nodes)
@@ -338,15 +341,18 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         return places.join(classes.select("uid", "n", "sketch", *columns), "uid").select(F.explode("paths").alias("path"), "uid", "comp", "n", "sketch", *columns)
 
     def in_mixed_nodes(at: DataFrame, name: str) -> DataFrame:
-        """Members of nodes that hold several components, with the node's size c."""
-        nodes = cut(at.groupBy("path").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1 and lo <> hi").select("path", "c"), f"{name}-node")
+        """Members of nodes that hold several components, with the node's size c and its largest set."""
+        nodes = at.groupBy("path").agg(F.count("*").alias("c"), F.max("n").alias("widest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        nodes = cut(nodes.where("c > 1 and lo <> hi").select("path", "c", "widest"), f"{name}-node")
         out = cut(at.join(nodes, "path"), name)
         drop(nodes)
         return out
 
-    def search(members: DataFrame, most: int, texts: DataFrame | None) -> list[DataFrame]:
+    def search(members: DataFrame, texts: DataFrame | None) -> list[DataFrame]:
         """Run the trees below the root over some members; tables of pairs (a, b) or (a, null) as the leaves give them."""
         extra = [] if texts is None else ["text"]
+        # With whole texts a leaf is bounded by their words, too.
+        most = F.lit(leaf) if texts is None else F.least(F.lit(leaf), F.ceil(F.lit(LEAF_WORDS) / F.col("widest")))
 
         def compared(rows: DataFrame) -> DataFrame:
             if texts is not None:
@@ -355,11 +361,11 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             sorted_ = rows.select("path", "uid", "comp", "n", "sketch", *extra).repartition("path").sortWithinPartitions("path")
             return cut(sorted_.mapInArrow(_compared(shingle, threshold, texts is not None), "a long, b long"), "nd-found")
 
-        found = [compared(with_class(members.where(F.col("c") <= most)))]
+        found = [compared(with_class(members.where(F.col("c") <= most).drop("n")))]
         large, nodes = members.where(F.col("c") > most), None
         if large.isEmpty():
             return found
-        large = with_class(large, "keys")
+        large = with_class(large.drop("n"), "keys")
         large = large.withColumn("own", F.floor(F.log("n") / width).cast("int")).select("*", F.explode(F.array("own", F.col("own") + 1)).alias("band")).withColumn("path", F.xxhash64("path", "band")).drop("own", "band")
         for level in range(depth):
             # Two different coordinates of the node's own choice.
@@ -375,17 +381,17 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             if large.isEmpty():
                 break
         else:
-            blocks = F.ceil(F.col("c") / (most // 2)).cast("int")
+            blocks = F.ceil(F.col("c") / F.greatest(F.lit(1), F.floor(most / 2))).cast("int")
             rest = large.withColumn("mine", F.pmod(F.xxhash64("uid", "path"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             found.append(compared(rest.withColumn("path", F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))))
         drop(nodes)
         return found
 
     def joined_to(members: DataFrame, comps: DataFrame) -> DataFrame:
-        return members.select("uid", "path").join(comps.select(F.col("id").alias("uid"), "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+        return members.select("uid", "n", "path").join(comps.select(F.col("id").alias("uid"), "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
     mixed = in_mixed_nodes(joined_to(members, comps), "nd-mixed")
-    tables = search(mixed, leaf, None)
+    tables = search(mixed, None)
     drop(mixed)
     found = reduce(DataFrame.union, tables)
     pairs = cut(found.where("b is not null").distinct(), "nd-pair")
@@ -395,7 +401,7 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     if not open_.isEmpty():
         mixed = in_mixed_nodes(joined_to(members.join(open_, "uid", "left_semi"), connected_components(edges)), "nd-mixed")
         texts = texts_of(open_, "nd-open")
-        edges = reduce(DataFrame.union, search(mixed, min(leaf, 512), texts), edges)
+        edges = reduce(DataFrame.union, search(mixed, texts), edges)
         drop(mixed, texts)
     drop(members, open_, pairs)
 
