@@ -14,7 +14,10 @@ never shuffled, whatever items or passages are frequent.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. Defined results: null or
 wordless texts have no words and no hits; an item without words or without id is ignored; repeated items and
-windows count once for an item; repeated documents each get a row; other columns are ignored.
+windows count once for an item; item ids are integers, document ids may be of any type; repeated documents each get
+a row; very long texts count whole; empty tables give no rows or no hits; other columns are ignored, whatever their names.
+Words and windows are compared by 64-bit hashes of all their bytes: a false hit has a chance of about 2**-64 for each
+pair of a document position and a window with the same prefix token.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm import textkernel as tk
+from ratelens.llm.keys import row_key, type_of
 from ratelens.sources.tables import cut
 
 SHINGLE = 3
 #: Windows in one broadcast block: 40 bytes each.
 BLOCK = 1_000_000
-#: Keys of documents to drop are broadcast only up to this many (8 bytes each); beyond, the join shuffles.
+#: Keys of documents to drop are broadcast only up to this many (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
 
@@ -177,8 +181,9 @@ def benchmark_hits(
 
 def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
+    schema = f"doc_id {type_of(base, 'doc_id')}, {_HITS}"
     found = cut(items.mapInArrow(_item_windows(window), "item_id long, w long, size int, k int, parts array<long>").distinct(), "bd-window")
 
     # Corpus frequency of every benchmark shingle, over all documents.
@@ -192,7 +197,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
             here = base.select("text").mapInArrow(_counts(shared), "part long, n long")
             counts = here if counts is None else counts.union(here)
     if counts is None:
-        return base.mapInArrow(_probe(context.broadcast({}), True), _HITS)
+        return base.mapInArrow(_probe(context.broadcast({}), True), schema)
     counts = counts.groupBy("part").agg(F.sum("n").alias("n"))
 
     # The necessary prefix of each window: its rarest shingle.
@@ -205,12 +210,12 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
         rows = prefix.where(F.pmod(F.xxhash64("item_id", "w"), F.lit(blocks)) == b).toPandas()
         rows = rows.assign(order=rows["part"].to_numpy().view(np.uint64)).sort_values("order", kind="stable")
         shared = context.broadcast({int(k): {c: g[c].to_numpy().astype(np.int64) for c in ("part", "offset", "size", "w", "item_id")} for k, g in rows.groupby("k")})
-        out = out.mapInArrow(_probe(shared, first), _HITS)
+        out = out.mapInArrow(_probe(shared, first), schema)
         first = False
     return out
 
 
-_HITS = "doc_id long, text string, n_words long, spans array<long>, items array<long>"
+_HITS = "text string, n_words long, spans array<long>, items array<long>"
 
 
 def summary(hits: DataFrame) -> DataFrame:
@@ -222,8 +227,9 @@ def summary(hits: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents in which no benchmark window occurs, all columns as they came."""
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    key = row_key(F.col(id_col), F.col(text_col).cast("string"))
     hits = _hits(docs, benchmark, id_col, text_col, **settings)
-    bad = cut(hits.where(F.size("spans") > 0).select(F.xxhash64("doc_id", "text").alias("__hit")).distinct(), "bd-bad")
+    bad = hits.where(F.size("spans") > 0).select(row_key(F.col("doc_id"), F.col("text")).alias("k")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2"))
+    bad = cut(bad.distinct(), "bd-bad")
     small = bad.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(bad) if small else bad, key == F.col("__hit"), "left_anti")
+    return docs.join(F.broadcast(bad) if small else bad, (key["k1"] == F.col("__k1")) & (key["k2"] == F.col("__k2")), "left_anti")

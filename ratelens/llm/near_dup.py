@@ -44,10 +44,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm import textkernel as tk
+from ratelens.llm.keys import row_key, type_of
 from ratelens.sources.tables import cut, drop
 
 #: Keys of rows (16 bytes each) are broadcast to filter texts only up to this many; beyond, the join shuffles.
@@ -62,11 +63,6 @@ COORDINATES = 24
 _SEEDS = np.random.default_rng(75).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def row_key(*columns: Column) -> Column:
-    """128 bits that name a row by its values."""
-    return F.struct(F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("second"), *columns).alias("k2"))
-
-
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +287,7 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """near_duplicates with the row key of id and text."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = base.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k"), "text").select("doc_id", "k.k1", "k.k2", "text")
-    kind = base.schema["doc_id"].dataType.simpleString()
+    kind = type_of(base, "doc_id")
     sketched = cut(keyed.mapInArrow(_sketches(shingle), f"doc_id {kind}, k1 long, k2 long, n long, d1 long, d2 long, keys array<long>, sketch binary"), "nd-sketch")
     rows = cut(sketched.drop("keys", "sketch"), "nd-row")
     # A class is named by a number that is written with it, so it is unique and stays the same for every reader.

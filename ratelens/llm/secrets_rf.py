@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ratelens.llm.keys import row_key
 from ratelens.sources.tables import cut
 
 RUN = "[A-Za-z0-9+/_-]"
@@ -140,7 +141,7 @@ def _marked(text: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, uid, pos, start, candidate, before, after) for every candidate; start is a character offset."""
     text = F.col(text_col).cast("string")
-    found = docs.where(text.rlike(CANDIDATE)).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("uid"), F.monotonically_increasing_id().alias("row"), _marked(text).alias("pieces"))
+    found = docs.where(text.rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), text).alias("uid"), F.monotonically_increasing_id().alias("row"), _marked(text).alias("pieces"))
     rest = F.transform("pieces", lambda p: F.regexp_replace(p, f"(?s)^[^{CLOSE}]*{CLOSE}", ""))
     parts = F.transform(
         "pieces",
@@ -152,7 +153,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ),
     )
     flat = found.withColumn("rest", rest).select("doc_id", "uid", "row", F.posexplode(parts).alias("pos", "part")).select("doc_id", "uid", "row", "pos", "part.*")
-    before = Window.partitionBy("uid", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     flat = flat.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
     return flat.where("pos > 0").select("doc_id", "uid", "pos", "start", "candidate", "before", "after")
 
@@ -174,7 +175,7 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float
     flagged = cut(found.groupBy(F.col("uid").alias("__uid")).agg(F.collect_set("pos").alias("__at")), "sr-flag")
     if flagged.count() <= BROADCAST_KEYS:
         flagged = F.broadcast(flagged)
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), text)).join(flagged, F.col("__key") == F.col("__uid"), "left")
+    keyed = docs.withColumn("__key", row_key(F.col(id_col), text)).join(flagged, F.col("__key") == F.col("__uid"), "left")
     masked = F.array_join(F.transform(_marked(text), lambda p, i: F.when(F.array_contains("__at", i), F.regexp_replace(p, f"(?s)^[^{CLOSE}]*{CLOSE}", F.lit(MASK.replace("[", "\\[")))).otherwise(F.translate(p, CLOSE, ""))), "")
     new = F.when(F.col("__at").isNotNull(), masked).otherwise(F.col(text_col))
     out = {text_col: new}

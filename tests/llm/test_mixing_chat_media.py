@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,10 +54,18 @@ def test_mix_of_nothing(spark):
     assert [(r.size, r.target, r.taken) for r in one] == [(0, 0.0, 0)]
 
 
-def test_mixed_documents_keep_columns(spark):
-    docs = spark.createDataFrame([(i, "w " * (i + 1), "a" if i % 3 else "b") for i in range(30)], "doc_id long, text string, source string")
+def test_mixed_documents_are_the_rows_that_the_mix_takes_from(spark):
+    rows = [(i, "w " * (i + 1), "a" if i % 3 else "b", 0) for i in range(30)] + [(7, "w " * 10, "a", 1), (7, "w", "a", 1), (7, "v v", "a", 1), (7, "v v", "a", 2), (None, "q r", "b", 1), (None, "s", "b", 1), (None, None, "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size int")
     out = mixing.mixed_documents(docs)
-    assert out.columns == [*docs.columns, "mix_words"] and out.where("mix_words <= 0").count() == 0
+    assert out.columns == [*docs.columns, "mix_words"]
+    size = lambda t: len((t or "").split())
+    want = {}
+    for r in mixing.mix_sources(docs).collect():
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.taken
+    got = {(r.doc_id, size(r.text)): r.mix_words for r in out.collect()}
+    assert got == {k: v for k, v in want.items() if v > 0} and len(got) == out.count()
+    assert mixing.mixed_documents(docs.limit(0)).collect() == []
 
 
 # Chat
@@ -114,34 +123,48 @@ def test_gear_is_a_window_sum():
         assert int(h[i]) == sum(int(media_chunks._GEAR[data[i - k]]) << k for k in range(32)) % 2**32
 
 
-def test_media_round_trip(spark):
+def feature_of(pad: bytes, chunks: int) -> str:
+    steps = sum(x != y for x, y in zip(pad, pad[1:]))
+    return f"n={len(pad)};sum={sum(pad)};energy={sum(x * x for x in pad)};peak={max(pad)};steps={steps};chunks={chunks}"
+
+
+@pytest.mark.parametrize("most_bits", [1 << 27, 1 << 16])
+def test_media_round_trip(spark, most_bits, monkeypatch):
+    """Payloads, stored form and feature against plain Python over the written tables."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh é") for _ in range(8))
     passage = " ".join(word() for _ in range(900))
     texts = [None, "", "a", "é" * 33, "x" * 64, passage, passage, passage + " tail", "head " + passage, " ".join(word() for _ in range(20_000)), "\0" * 100]
     rows = [(i, t) for i, t in enumerate(texts)] + [(5, passage), (None, passage)]
     docs = spark.createDataFrame([(a, b, "clash", "clash") for a, b in rows], "doc_id long, text string, own string, uid string")
-    media = media_chunks.store(docs)
-    out = media_chunks.read_back(media).collect()
+    if most_bits == 1 << 16:  # every bit set: a plain chunk table
+        monkeypatch.setattr(media_chunks, "_bitmap", lambda names, most: np.full(most // 8, 255, dtype=np.uint8))
+    stored = media_chunks.store(docs, most_bits=most_bits)
+    out = media_chunks.read_back(stored).collect()
     assert len(out) == len(rows)
+    headers = {(r.doc_id, r.n_bytes): r for r in stored.media.selectExpr("doc_id", "header", "conv(hex(reverse(substring(header, 5, 8))), 16, 10) AS n_bytes").collect()}
     want = {}
     for i, t in rows:
         raw = (t or "").encode()
         pad = raw + bytes(-len(raw) % 64 if raw else 64)
-        want.setdefault(i, []).append((len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:])))
+        header = bytes(headers[i, str(len(raw))].header)
+        chunks = (len(header) - 24) // 20
+        media = header + pad
+        want.setdefault(i, []).append((len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(pad, chunks)))
     got = {}
     for r in out:
-        got.setdefault(r.doc_id, []).append((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32))
+        got.setdefault(r.doc_id, []).append((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature))
     assert got == want
-    same = [r for r in out if r.doc_id in (5, 6, None)]
-    assert len({(r.media_sha256, r.media_bytes, r.feature) for r in same}) == 1
     # the passage's chunks are stored about once
-    assert media.agg(F.sum(F.length("own"))).first()[0] < sum(len((t or "").encode()) + 64 for _, t in rows) - 3 * len(passage)
+    held = stored.media.agg(F.sum(F.length("own"))).first()[0] + stored.chunks.agg(F.sum(F.length("chunk"))).first()[0]
+    assert held < sum(len((t or "").encode()) + 64 for _, t in rows) - 3 * len(passage)
+    assert stored.chunks.count() == stored.chunks.select("d1", "d2").distinct().count()
 
 
 def test_media_detects_damage(spark):
-    media = media_chunks.store(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
-    broken = media.withColumn("own", F.concat(F.lit(b"X"), F.expr("substring(own, 2)")))
+    stored = media_chunks.store(spark.createDataFrame([("a", "some text"), (None, None)], "doc_id string, text string"))
+    assert sorted(str(r.doc_id) for r in media_chunks.read_back(stored).collect()) == ["None", "a"]
+    broken = media_chunks.Store(stored.media.withColumn("own", F.concat(F.lit(b"X"), F.expr("substring(own, 2)"))), stored.chunks)
     with pytest.raises(Exception, match="differs from its digest"):
         media_chunks.read_back(broken).collect()
 
