@@ -15,8 +15,8 @@ One shuffle, by conversation: offsets are window sums over the conversation's tu
 that partitioning. A conversation is one row of the result, so it has to fit in a row.
 
 Defined results: null role or text is empty; a null conversation id is a conversation of its own; null turns
-come first; ties in turn are ordered by role, then text; repeated rows are repeated turns; an empty table gives
-no rows; other columns are ignored.
+come first; ties in turn are ordered by role, then text; repeated rows are repeated turns; roles and texts may be
+very long; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,11 +76,18 @@ def format_conversations(
 def parse(formatted: Column) -> Column:
     """The turns of a formatted string: array<struct<role, text>>."""
     blocks = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda b: b != "")
-    head = r"(?s)^((?:[^\\\n]|\\.)*)\n"
+
+    def ends(line: Column) -> Column:
+        """Whether the line feed after a line ends the role: it isn't escaped by an odd number of backslashes."""
+        return (F.length(line) - F.length(F.rtrim(line, F.lit("\\")))) % 2 == 0
 
     def of(block: Column) -> Column:
-        role = unescape(F.regexp_extract(block, head, 1))
-        body = F.regexp_replace(F.regexp_replace(block, head, ""), r"<\|im_end\|>\n$", "")
+        first = F.substring_index(block, "\n", 1)
+        lines = F.split(block, "\n")
+        last = F.array_position(F.transform(lines, ends), True).cast("int")
+        head = F.when(ends(first), first).otherwise(F.array_join(F.slice(lines, 1, last), "\n"))
+        role = unescape(head)
+        body = F.regexp_replace(F.substring(block, F.length(head) + 2, F.length(block)), r"<\|im_end\|>\n$", "")
         return F.transform(F.split(body, r"<\|im_sep\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
     return F.flatten(F.transform(blocks, of))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm import textkernel as tk
+from ratelens.llm.keys import type_of
 from ratelens.llm.sampling import remainder
 
 BITS = 12
@@ -172,7 +173,8 @@ def fit(docs: DataFrame, held_out: int = 1, modulus: int = 3, per_language: int
     chosen = ids.where(draw < ceiling[F.col("lang")]).distinct().withColumn("place", place).where(F.col("place") <= each)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     rows = texts.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
-    found = rows.mapInArrow(_vectors(), "doc_id long, lang string, x binary").groupBy("doc_id", "lang").agg(F.max("x").alias("x")).toArrow()
+    # One row for an id, however often it is repeated: what reaches the driver keeps the bound.
+    found = rows.mapInArrow(_vectors(), f"doc_id {type_of(rows, 'doc_id')}, lang string, x binary").groupBy("doc_id", "lang").agg(F.max("x").alias("x")).toArrow()
     kept = sorted((i, lang, x) for i, lang, x in zip(found["doc_id"].to_pylist(), found["lang"].to_pylist(), found["x"].to_pylist()) if x)
     if not kept:
         return {"langs": []}
@@ -183,6 +185,6 @@ def fit(docs: DataFrame, held_out: int = 1, modulus: int = 3, per_language: int
 def identify(docs: DataFrame, held_out: int = 1, modulus: int = 3, margin: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, held_out, modulus, id_col=id_col, text_col=text_col, lang_col=lang_col, **settings))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = base.mapInArrow(_predictions(shared, margin), "doc_id long, lang_pred string, score double, ambiguous boolean")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = base.mapInArrow(_predictions(shared, margin), f"doc_id {type_of(base, 'doc_id')}, lang_pred string, score double, ambiguous boolean")
     return found.select("doc_id", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"), "lang_pred", "score", "ambiguous")

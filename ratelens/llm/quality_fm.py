@@ -12,8 +12,9 @@ arrays of a few MB; the model is a few hundred kB and is broadcast. Scoring read
 a shuffle.
 
 Defined results: null, empty and wordless texts are scored from their structure statistics; without labelled rows
-every score is 0.5; null metadata has an interval of its own; repeated rows each get a row; other columns are
-ignored.
+every score is 0.5; metadata that is null or that the table lacks has an interval of its own; ids may be of any type and
+keep it, null included; repeated rows each get a row and train once; very long texts count whole; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelens.llm import textkernel as tk
+from ratelens.llm.keys import type_of
 from ratelens.llm.sampling import labelled_texts, remainder
 
 WORD_BITS = 15
@@ -172,10 +174,16 @@ def _scores(shared, names: Sequence[str]):
     return run
 
 
+def _metadata_columns(docs: DataFrame, metadata: Sequence[str]) -> dict[str, Column]:
+    """Metadata as numbers; null where the table has no such column."""
+    return {f"m{i}": (F.col(c) if c in docs.columns else F.lit(None)).cast("double") for i, c in enumerate(metadata)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: int = 2, modulus: int = 4, bound: int = 6000, metadata: Sequence[str] = ("n_chars",), id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The model, from at most `bound` labelled documents outside the held-out fold."""
-    names = [f"m{i}" for i in range(len(metadata))]
-    sample = labelled_texts(docs, labels, label_col, held_out, modulus, bound, id_col, text_col, tuple(F.col(c).cast("double").alias(n) for c, n in zip(metadata, names)))
+    extra = _metadata_columns(docs, metadata)
+    names = [*extra]
+    sample = labelled_texts(docs, labels, label_col, held_out, modulus, bound, id_col, text_col, extra)
     rows = sample.drop("doc_id").mapInArrow(_training_rows(names), "label int, f array<int>, x array<float>").toArrow()
     f, x = ([a.values.to_numpy() for a in rows.column(c)] for c in ("f", "x"))
     labels_ = np.array(rows.column("label").to_pylist(), dtype=float)
@@ -185,13 +193,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
 
 
 def score(docs: DataFrame, model: dict, metadata: Sequence[str] = ("n_chars",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, uid, score) for every document; uid is a hash of id and text."""
-    names = [f"m{i}" for i in range(len(metadata))]
+    """(doc_id, score) for every document."""
+    extra = _metadata_columns(docs, metadata)
+    names = [*extra]
     small = {"b": model["b"], "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32)}
     shared = docs.sparkSession.sparkContext.broadcast(small)
-    text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("uid"), text.alias("text"), *(F.col(c).cast("double").alias(n) for c, n in zip(metadata, names)))
-    return base.mapInArrow(_scores(shared, names), "doc_id long, uid long, score double")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(c.alias(n) for n, c in extra.items()))
+    return base.mapInArrow(_scores(shared, names), f"doc_id {type_of(base, 'doc_id')}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: int = 2, modulus: int = 4, **settings) -> DataFrame:
@@ -207,11 +215,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_o
     The whole row passes through the scoring task, so nothing is joined back.
     """
     model = fit(docs, labels, held_out=held_out, modulus=modulus, **settings)
-    metadata = settings.get("metadata", ("n_chars",))
-    names = [f"m{i}" for i in range(len(metadata))]
+    extra = _metadata_columns(docs, settings.get("metadata", ("n_chars",)))
+    names = [*extra]
     small = {"b": model["b"], "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32)}
     shared = docs.sparkSession.sparkContext.broadcast(small)
     text = F.col(settings.get("text_col", "text")).cast("string")
-    carried = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), *(F.col(c).cast("double").alias(n) for c, n in zip(metadata, names)))
+    carried = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), *(c.alias(n) for n, c in extra.items()))
     schema = T.StructType([carried.schema["row"], T.StructField("score", T.DoubleType())])
     return carried.mapInArrow(_scores(shared, names), schema).where(F.col("score") >= threshold).select("row.*")

@@ -1,19 +1,24 @@
 """Secret scan with DataFrame expressions, false positives removed by a random forest.
 
-A candidate is a run of at least 16 characters of [A-Za-z0-9+/_-] with a digit in it (and up to two "=" after).
-Every candidate of every whole text is described by its length, its character transitions, the share of it that
+A candidate is one of three: a run of at least 16 characters of [A-Za-z0-9+/_-] with a digit in it (and up to two
+"=" after); a value of 6 characters or more, of any kind but blanks, quotes, commas and brackets, that a secret's name
+(token, password, api_key ...) and "=" or ":" lead to; the password of user:password@host in an address. Every
+candidate of every whole text is described by its length, its character transitions and classes, the share of it that
 dictionary words cover, signs of a path, and the words beside it; a random forest trained on labelled findings
 gives the probability that it is a secret.
 
 Labelled findings are a table (candidate, before, after, label). Without one, training uses a made-up table of
-`examples` rows (parameter, 4000) built from hashes: tokens, keys and passwords in assignments and headers
-against commit ids, file names, addresses, card and order numbers, versions and slugs. It is built, like all
-features, from SQL expressions; Python code does not touch a row.
+`examples` rows (parameter, 6000) built from hashes: tokens, keys and passwords in assignments, headers and addresses
+against commit ids, file names, addresses, card and order numbers, versions, slugs, and plain words, placeholders and
+variables where a password could stand. It is built, like all features, from SQL expressions; Python code does not
+touch a row.
 
 The search is one pass over the texts; only candidates with 48 characters on either side are shuffled.
 
 Defined results: null and empty texts have no findings; repeated rows have repeated findings; the same
-candidate twice in a text is two findings; a null id keeps its findings; other columns are ignored.
+candidate twice in a text is two findings; ids may be of any type and keep it, a null id keeps its findings; very long
+texts are searched whole; the marks used inside (U+0001 to U+0003) may occur in texts and come out as they were; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +33,8 @@ from ratelens.llm.keys import row_key
 from ratelens.sources.tables import cut
 
 RUN = "[A-Za-z0-9+/_-]"
-CANDIDATE = rf"(?<!{RUN})(?=[A-Za-z+/_-]*+[0-9]){RUN}{{16,}}+={{0,2}}"
 CONTEXT = 48
-OPEN, CLOSE = "\u0001", "\u0002"
+OPEN, CLOSE, ESCAPE = "\u0001", "\u0002", "\u0003"
 MASK = "[SECRET]"
 #: Keys of documents with secrets are broadcast only up to this many (with their positions, some 40 bytes each).
 BROADCAST_KEYS = 500_000
@@ -41,6 +45,13 @@ DICTIONARY = "about account admin and asset build bundle cache client code confi
 SECRET_WORDS = "token|secret|api[_-]?key|apikey|access[_-]?key|passw|pwd|auth|bearer|credential|private[_-]?key|client[_-]?secret"
 PLAIN_WORDS = "commit|sha|md5|checksum|digest|uuid|guid|order|invoice|phone|tel|card|isbn|version|build|rev|image|file|src|href|url|http|see|page"
 
+#: Groups: 1, 4 what leads to a value; 2, 3, 5 the candidate.
+CANDIDATE = (
+    rf"(?i:((?:{SECRET_WORDS}|passphrase)[\w-]{{0,20}}[\"'`]?\s{{0,3}}(?:=>|==?|:=?)\s{{0,3}}[\"'`]?(?:bearer\s)?))([^\s\"'`,;<>()\[\]{{}}{OPEN}-{ESCAPE}]{{6,}}+)"
+    rf"|((?<!{RUN})(?=[A-Za-z+/_-]*+[0-9]){RUN}{{16,}}+={{0,2}})"
+    rf"|(://[^\s/:@{OPEN}-{ESCAPE}]{{1,64}}:)([^\s/@:{OPEN}-{ESCAPE}]{{3,128}})(?=@)"
+)
+
 
 def features(candidate: Column, before: Column, after: Column) -> list[Column]:
     low = F.lower(candidate)
@@ -61,6 +72,10 @@ def features(candidate: Column, before: Column, after: Column) -> list[Column]:
         (1 - uncovered / size).alias("covered"),
         low.rlike("^[0-9a-f]+$").cast("double").alias("hex"),
         share("[/_-]").alias("breaks"),
+        share("[^A-Za-z0-9/_-]").alias("symbols"),
+        sum((candidate.rlike(c).cast("double") for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0.0)).alias("classes"),
+        candidate.rlike(r"[.:?!]$|^[$%{]|\(").cast("double").alias("prose"),
+        before.rlike(r"://[^\s/:@]*:$").cast("double").alias("in_address"),
         share("/").alias("slashes"),
         (before.rlike(r"[/\\.?&#]$") | after.rlike(r"^[./]\w")).cast("double").alias("path"),
         before.rlike(r"[=:]\s*[\"'`]?$").cast("double").alias("assigned"),
@@ -70,10 +85,10 @@ def features(candidate: Column, before: Column, after: Column) -> list[Column]:
     ]
 
 
-NAMES = ["size", "digits", "capitals", "letter_digit", "case_changes", "syllables", "distinct", "covered", "hex", "breaks", "slashes", "path", "assigned", "quoted", "secret_word", "plain_word"]
+NAMES = ["size", "digits", "capitals", "letter_digit", "case_changes", "syllables", "distinct", "covered", "hex", "breaks", "symbols", "classes", "prose", "in_address", "slashes", "path", "assigned", "quoted", "secret_word", "plain_word"]
 
 
-def example_findings(spark: SparkSession, examples: int = 4000) -> DataFrame:
+def example_findings(spark: SparkSession, examples: int = 6000) -> DataFrame:
     """A made-up table of labelled findings, the same on every call."""
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(h)), "[^A-Za-z0-9]", "x")
@@ -89,6 +104,13 @@ def example_findings(spark: SparkSession, examples: int = 4000) -> DataFrame:
     name = F.concat(other, F.lit(" "), pick(4, "token", "secret", "api_key", "apiKey", "password", "auth_token", "access_key", "client_secret", "TOKEN", "SECRET_KEY"), pick(5, " = \"", "=", ": ", "=\"", ": \"", " = '"))
     closed = F.when(name.endswith('"'), '" ').when(name.endswith("'"), "' ").otherwise(" ")
     bearer = F.concat(other, F.lit(" Authorization: Bearer "))
+    mark = pick(20, "!", "$", "#", "?", "@", "%", "&", "*", ".")
+    short = F.concat(F.substring(mixed, 1, 5), mark, F.substring(mixed, 6, 4))
+    spoken = F.concat(F.initcap(word), F.substring(digits, 1, 4), mark)
+    leet = F.concat(F.translate(F.initcap(word), "aeios", "43105"), mark, F.substring(h, 1, 4))
+    plain = F.concat(word, pick(21, "s", "ing", "er", "", "", "al", "able", "ed", ".", "."))
+    unset = pick(22, "required", "optional", "undefined", "None", "null,", "${PASSWORD}", "$TOKEN", "********", "xxxxxxxx", "changeme.", "os.environ", "process.env.KEY", "getenv", "string", "integer", "forgotten", "expired.", "<password>", "example")
+    address = F.concat(other, F.lit(" "), pick(23, "postgres", "mysql", "amqp", "https", "redis", "mongodb"), F.lit("://"), word, F.lit(":"))
     rows = [
         # (weight, candidate, before, after, label)
         (10, F.substring(h, 1, 40), name, closed, 1),
@@ -99,6 +121,13 @@ def example_findings(spark: SparkSession, examples: int = 4000) -> DataFrame:
         (5, F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), F.concat(other, F.lit(" ")), F.lit(" "), 1),
         (5, F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat(other, F.lit(" ")), F.lit(" "), 1),
         (5, mixed, bearer, F.lit("\n"), 1),
+        (6, short, name, closed, 1),
+        (4, spoken, name, closed, 1),
+        (4, leet, name, closed, 1),
+        (5, F.when(roll % 2 == 0, short).otherwise(F.substring(mixed, 1, 12)), address, F.lit("@db.example.com/"), 1),
+        (8, plain, name, closed, 0),
+        (6, unset, name, closed, 0),
+        (3, F.concat(word, F.lit("."), word2, F.lit("("), other), name, closed, 0),
         (6, F.substring(h, 1, 40), F.concat(other, pick(6, " commit ", " sha ", " see ", " digest ", " rev ", " checksum: ")), F.lit(" "), 0),
         (6, F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12)), F.concat(other, pick(7, " uuid ", " id=", " guid: ", " ")), F.lit(" "), 0),
         (8, F.substring(digits, 1, 16), F.concat(other, pick(8, " ", " card ", " order ", " tel ", ": ", "=")), F.lit(" "), 0),
@@ -122,7 +151,7 @@ def example_findings(spark: SparkSession, examples: int = 4000) -> DataFrame:
             value = F.when(test, item) if value is None else value.when(test, item)
         out.append(value.otherwise(rows[-1][i] if isinstance(rows[-1][i], Column) else F.lit(rows[-1][i])))
     table = spark.range(0, examples, 1, 2).select(*(c.alias(n) for c, n in zip(out, ("candidate", "before", "after", "label"))))
-    return table.where(F.length("candidate") >= 16)
+    return table
 
 
 def fit(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
@@ -133,23 +162,36 @@ def fit(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestCla
 
 
 def _marked(text: Column) -> Column:
-    """The text in pieces: what comes before the first candidate, then for each candidate itself, CLOSE, what follows."""
-    plain = F.translate(text, OPEN + CLOSE, "  ")
-    return F.split(F.regexp_replace(plain, CANDIDATE, OPEN + "$0" + CLOSE), OPEN)
+    """The text in pieces: what comes before the first candidate, then for each candidate itself, CLOSE, what follows.
+
+    Marks that the text itself holds are escaped; _plain() takes the escapes back.
+    """
+    escaped = text
+    for mark, name in ((ESCAPE, "c"), (OPEN, "a"), (CLOSE, "b")):
+        escaped = F.replace(escaped, F.lit(mark), F.lit(ESCAPE + name))
+    escaped = F.when(text.rlike(f"[{OPEN}-{ESCAPE}]"), escaped).otherwise(text)
+    return F.split(F.regexp_replace(escaped, CANDIDATE, f"$1$4{OPEN}$2$3$5{CLOSE}"), OPEN)
+
+
+def _plain(piece: Column) -> Column:
+    out = piece
+    for mark, name in ((OPEN, "a"), (CLOSE, "b"), (ESCAPE, "c")):
+        out = F.replace(out, F.lit(ESCAPE + name), F.lit(mark))
+    return F.when(F.contains(piece, F.lit(ESCAPE)), out).otherwise(piece)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, uid, pos, start, candidate, before, after) for every candidate; start is a character offset."""
     text = F.col(text_col).cast("string")
     found = docs.where(text.rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), text).alias("uid"), F.monotonically_increasing_id().alias("row"), _marked(text).alias("pieces"))
-    rest = F.transform("pieces", lambda p: F.regexp_replace(p, f"(?s)^[^{CLOSE}]*{CLOSE}", ""))
+    rest = F.transform("pieces", lambda p: F.substring_index(p, CLOSE, -1))
     parts = F.transform(
         "pieces",
         lambda p, i: F.struct(
             F.substring_index(p, CLOSE, 1).alias("candidate"),
-            F.when(i > 0, F.right(F.get("rest", i - 1), F.lit(CONTEXT))).alias("before"),
-            F.left(F.get("rest", i), F.lit(CONTEXT)).alias("after"),
-            (F.length(p) - F.when(i > 0, 1).otherwise(0)).alias("size"),
+            F.when(i > 0, F.right(_plain(F.get("rest", i - 1)), F.lit(CONTEXT))).alias("before"),
+            F.left(_plain(F.get("rest", i)), F.lit(CONTEXT)).alias("after"),
+            (F.length(_plain(p)) - F.when(i > 0, 1).otherwise(0)).alias("size"),
         ),
     )
     flat = found.withColumn("rest", rest).select("doc_id", "uid", "row", F.posexplode(parts).alias("pos", "part")).select("doc_id", "uid", "row", "pos", "part.*")
@@ -176,7 +218,7 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float
     if flagged.count() <= BROADCAST_KEYS:
         flagged = F.broadcast(flagged)
     keyed = docs.withColumn("__key", row_key(F.col(id_col), text)).join(flagged, F.col("__key") == F.col("__uid"), "left")
-    masked = F.array_join(F.transform(_marked(text), lambda p, i: F.when(F.array_contains("__at", i), F.regexp_replace(p, f"(?s)^[^{CLOSE}]*{CLOSE}", F.lit(MASK.replace("[", "\\[")))).otherwise(F.translate(p, CLOSE, ""))), "")
+    masked = F.array_join(F.transform(_marked(text), lambda p, i: _plain(F.when(F.array_contains("__at", i), F.concat(F.lit(MASK), F.substring_index(p, CLOSE, -1))).otherwise(F.translate(p, CLOSE, "")))), "")
     new = F.when(F.col("__at").isNotNull(), masked).otherwise(F.col(text_col))
     out = {text_col: new}
     if length_col and length_col in docs.columns:

@@ -5,19 +5,23 @@ insults next to "you", one for shouted insults; the others are lexicons mined fr
 prefix hashes ranked by how much more often labelled-toxic documents hold them, dealt out over several
 lexicons, some of which fire on one match and some on several different or repeated ones.
 
-The label model is generative: P(toxic) and, for each voter and class, P(fires | class), fitted by expectation
-maximisation on the counts of vote patterns over all documents. With V voters there are at most 2**V patterns
-(V is 10), so what reaches the driver has a fixed bound. Labels of the training fold enter as one more vote
-whose error rates are estimated too. Voters that agree more than independence within a class allows are
-correlated; a voter's weight in the posterior is divided by one plus its summed positive correlations, so
-that voters with the same source don't count twice.
-
-The posterior labels of at most `bound` training documents (parameter, 6000) train a logistic regression on
-hashed words and prefixes of whole texts; its scores are the result. The features are the `kept` ones most
-different between the classes.
-
-Defined results: null and wordless texts get the score of a document without features; without labelled rows of
-both classes every score is 0; repeated rows each get a row; other columns are ignored.
+The label model is generative and models correlations: given the class, each voter depends on at most one other
+voter, and these dependences form a forest (the strongest by mutual information given the class). So
+P(votes, class) = P(class) * product of P(vote | class, the voter that it depends on), and voters with the same source
+don't count twice. It is fitted by expectation maximisation on the counts of vote patterns over all documents; the
+forest is found anew every few rounds. With V voters there are at most 2**V patterns (V is 10), so what reaches the
+driver for it has a fixed bound. Labels of the training fold calibrate the fit: a labelled document of a pattern
+is of its label's class with a probability of at least `trust`. Without labels the fixed voters start it alone.
+
+A logistic regression on hashed words and prefixes of whole texts is trained on the label model's posteriors (given votes,
+and for labelled documents the calibration, too) of at most `bound` labelled (parameter, 4000) and `unlabelled` further documents (parameter, 2000) outside the
+held-out fold; its scores are the result. Its features are the `kept` ones most different between the
+classes that the posteriors tell apart.
+
+Defined results: null and wordless texts get the score of a document without features; if no document of the sample
+has a posterior over 0.5 every score is 0; ids may be of any type and keep it, null included; repeated rows each get a
+row and train once; very long texts count whole; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm import textkernel as tk
+from ratelens.llm.keys import type_of
 from ratelens.llm.sampling import labelled_texts, remainder
 
 BITS = 20
@@ -78,13 +83,15 @@ def _fixed_votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     insult, you = np.isin(whole, _word_hashes(INSULTS)), np.isin(whole, _word_hashes(_YOU))
     near = insult.copy()
     reach = np.zeros(len(you), dtype=bool)
+    doc = w.doc
     for d in (1, 2):
-        reach[d:] |= you[: len(you) - d]
-        reach[: len(you) - d] |= you[d:]
+        same = doc[d:] == doc[: len(doc) - d]
+        reach[d:] |= you[: len(you) - d] & same
+        reach[: len(you) - d] |= you[d:] & same
     near &= reach
     number = np.bincount(w.doc[insult], minlength=n)
-    following = np.minimum(w.end, max(0, len(data) - 1))
-    shouted = insult & (data[following] == 33) if len(data) else insult
+    followed = w.end < offsets[1:][doc]
+    shouted = insult & followed & (data[np.where(followed, w.end, 0)] == 33) if len(data) else insult
     return np.stack([number > 0, np.bincount(w.doc[near], minlength=n) > 0, (number > 1) | (np.bincount(w.doc[shouted], minlength=n) > 0)], axis=1)
 
 
@@ -118,56 +125,84 @@ def mine(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, kept: in
     return features, lexicon
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, rounds: int = 60) -> dict:
+def _dependences(patterns: np.ndarray, weights: list[np.ndarray], least: float = 1e-4) -> np.ndarray:
+    """For each voter the one that it depends on, or -1: a maximum spanning forest by mutual information given the class."""
+    v, total = patterns.shape[1], max(1e-9, sum(w.sum() for w in weights))
+    shared = np.zeros((v, v))
+    for w in weights:
+        mass = max(1e-9, w.sum())
+        for x in (0, 1):
+            for y in (0, 1):
+                a, b = (patterns == x).astype(float), (patterns == y).astype(float)
+                both = (a * w[:, None]).T @ b / mass
+                apart = np.outer(w @ a, w @ b) / mass**2
+                shared += mass / total * np.where(both > 0, both * np.log(np.maximum(both, 1e-300) / np.maximum(apart, 1e-300)), 0)
+    parent, inside = np.full(v, -1), np.zeros(v, dtype=bool)
+    for _ in range(v):
+        # The strongest tie from the forest to a voter outside; without one the next voter stands alone.
+        ties = np.where(inside[:, None] & ~inside[None, :], shared, -1.0)
+        i, j = np.unravel_index(np.argmax(ties), ties.shape)
+        if ties[i, j] > least:
+            parent[j], inside[j] = i, True
+        else:
+            inside[np.flatnonzero(~inside)[0]] = True
+    return parent
+
+
+def _tables(patterns: np.ndarray, parent: np.ndarray, weights: list[np.ndarray], smooth: float = 0.5) -> np.ndarray:
+    """P(vote = 1 | class, value of the parent) as an array class x value x voter; without a parent both values agree."""
+    out = np.zeros((2, 2, patterns.shape[1]))
+    for y, w in enumerate(weights):
+        for j, up in enumerate(parent):
+            for value in (0, 1):
+                here = w if up < 0 else w * (patterns[:, up] == value)
+                mean = (w @ patterns[:, j] + smooth) / (w.sum() + 2 * smooth)
+                out[y, value, j] = (here @ patterns[:, j] + 4 * mean * smooth) / (here.sum() + 4 * smooth)
+    return np.clip(out, 1e-6, 1 - 1e-6)
+
+
+def _margin(model: dict, votes: np.ndarray) -> np.ndarray:
+    """log odds of toxic given votes."""
+    parent, value = model["parent"], np.where(model["parent"] >= 0, votes[:, np.maximum(model["parent"], 0)], 0).astype(int)
+    at = np.arange(len(parent))
+    on = [model["tables"][y][value, at] for y in (0, 1)]
+    gain = np.where(votes > 0, np.log(on[1] / on[0]), np.log((1 - on[1]) / (1 - on[0])))
+    return np.log(model["prior"] / (1 - model["prior"])) + gain.sum(axis=1)
+
+
+def label_posterior(model: dict, votes: np.ndarray) -> np.ndarray:
+    """P(toxic | votes)."""
+    return 1 / (1 + np.exp(-_margin(model, votes)))
+
+
+def given_label(posterior: np.ndarray, label: np.ndarray | int, trust: float = 0.95) -> np.ndarray:
+    """The posterior of a document with a label (-1: none), which is right with a probability of at least `trust`."""
+    return np.where(np.equal(label, 1), np.maximum(posterior, trust), np.where(np.equal(label, 0), np.minimum(posterior, 1 - trust), posterior))
+
+
+def label_model(patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, rounds: int = 60, trust: float = 0.95, correlated: bool = True) -> dict:
     """Fit by EM. patterns: P x V of 0 and 1; counts: documents of each pattern; gold: P x 2 labelled 0 and 1 among them."""
-    known = gold.sum()
-    prior = float(np.clip(gold[:, 1].sum() / max(1, known), 0.01, 0.99))
-    smooth = 0.5
-    rate = np.stack([(smooth + gold[:, y] @ patterns) / (2 * smooth + gold[:, y].sum()) for y in (0, 1)])
-    label_rate = np.array([0.02, 0.98])
-    free = counts - gold.sum(axis=1)
-    damping = np.ones(patterns.shape[1])
+    free = np.maximum(0, counts - gold.sum(axis=1))
+    if gold[:, 0].sum() and gold[:, 1].sum():
+        # Together the unlabelled documents weigh as much as the labelled ones, so that they can't outvote the calibration.
+        free = free * min(1.0, gold.sum() / max(1.0, free.sum()))
+    counts = free + gold.sum(axis=1)
+    if gold[:, 0].sum() and gold[:, 1].sum():
+        prior, weights = float(np.clip(gold[:, 1].sum() / gold.sum(), 0.01, 0.99)), [gold[:, 0], gold[:, 1]]
+    else:
+        first = np.where(patterns.sum(axis=1) > 0, 0.9, 0.001)
+        prior, weights = float(np.clip((counts @ first) / max(1, counts.sum()), 0.001, 0.5)), [counts * (1 - first), counts * first]
+    model = {"prior": prior, "parent": _dependences(patterns, weights) if correlated else np.full(patterns.shape[1], -1)}
+    model["tables"] = _tables(patterns, model["parent"], weights)
     for i in range(rounds):
-        if i % 10 == 0:
-            damping = 1 / (1 + _correlation(patterns, counts, _posterior(patterns, prior, rate, damping)))
-        base = _margin(patterns, prior, rate, damping)
-        r = 1 / (1 + np.exp(-base))
-        r1 = 1 / (1 + np.exp(-(base + np.log(label_rate[1] / label_rate[0]))))
-        r0 = 1 / (1 + np.exp(-(base + np.log((1 - label_rate[1]) / (1 - label_rate[0])))))
-        toxic = free * r + gold[:, 1] * r1 + gold[:, 0] * r0
-        clean = counts - toxic
-        prior = float(np.clip(toxic.sum() / max(1, counts.sum()), 1e-3, 1 - 1e-3))
-        rate = np.stack([(smooth + m @ patterns) / (2 * smooth + m.sum()) for m in (clean, toxic)])
-        label_rate = np.clip([(1 + gold[:, 1] @ (1 - r1)) / (50 + gold[:, 1] @ (1 - r1) + gold[:, 0] @ (1 - r0)), (50 + gold[:, 1] @ r1) / (51 + gold[:, 1] @ r1 + gold[:, 0] @ r0)], 0.005, 0.995)
-    return {"prior": prior, "rate": rate, "damping": damping, "label_rate": label_rate}
-
-
-def _margin(patterns: np.ndarray, prior: float, rate: np.ndarray, damping: np.ndarray) -> np.ndarray:
-    on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-    return np.log(prior / (1 - prior)) + (patterns * on + (1 - patterns) * off) @ damping
-
-
-def _posterior(patterns: np.ndarray, prior: float, rate: np.ndarray, damping: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-_margin(patterns, prior, rate, damping)))
-
-
-def _correlation(patterns: np.ndarray, counts: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-    """For each voter the sum of its positive correlations with the others, within the classes."""
-    total = np.zeros((patterns.shape[1],) * 2)
-    for weight in (counts * posterior, counts * (1 - posterior)):
-        centred = patterns - (weight @ patterns) / max(1e-9, weight.sum())
-        cov = (centred * weight[:, None]).T @ centred
-        scale = np.sqrt(np.maximum(1e-9, np.diag(cov)))
-        total += cov / np.outer(scale, scale) * weight.sum() / max(1e-9, counts.sum())
-    np.fill_diagonal(total, 0)
-    return np.maximum(0, total).sum(axis=1)
-
-
-def label_posterior(model: dict, votes: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """P(toxic) given votes and the label as a vote."""
-    a = model["label_rate"]
-    said = np.where(label == 1, np.log(a[1] / a[0]), np.log((1 - a[1]) / (1 - a[0])))
-    return 1 / (1 + np.exp(-(_margin(votes, model["prior"], model["rate"], model["damping"]) + said)))
+        r = label_posterior(model, patterns)
+        toxic = free * r + gold[:, 1] * given_label(r, 1, trust) + gold[:, 0] * given_label(r, 0, trust)
+        weights = [counts - toxic, toxic]
+        if correlated and i % 10 == 9:
+            model["parent"] = _dependences(patterns, weights)
+        model["prior"] = float(np.clip(toxic.sum() / max(1, counts.sum()), 1e-4, 1 - 1e-4))
+        model["tables"] = _tables(patterns, model["parent"], weights)
+    return model
 
 
 def train_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, width: int, epochs: int = 40, batch: int = 256, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -237,18 +272,30 @@ def _scores(shared):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out: int = 1, modulus: int = 3, bound: int = 6000, kept: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def _sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: int, modulus: int, bound: int, unlabelled: int, id_col: str, text_col: str) -> DataFrame:
+    """(text, label) of the bounded training sample; label is -1 for the documents taken without a look at labels."""
+    known = labelled_texts(docs, labels, label_col, held_out, modulus, bound, id_col, text_col).select("text", "label")
+    ids = docs.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull() & (remainder(F.col("__id"), modulus) != held_out)).distinct()
+    drawn = ids.orderBy(F.xxhash64(F.lit("unlabelled"), "__id"), "__id").limit(unlabelled)
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    others = texts.join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).groupBy("__doc").agg(F.max("text").alias("text"))
+    return known.union(others.select("text", F.lit(-1).alias("label")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out: int = 1, modulus: int = 3, bound: int = 4000, unlabelled: int = 2000, kept: int = 4000, correlated: bool = True, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The classifier (features, weights, bias) and the label model behind it."""
     context = docs.sparkSession.sparkContext
-    sample = labelled_texts(docs, labels, label_col, held_out, modulus, bound, id_col, text_col)
-    found = sample.drop("doc_id").mapInArrow(_training_rows(), "label int, f array<int>, c array<int>, fixed int").toArrow()
+    sample = _sample(docs, labels, label_col, held_out, modulus, bound, unlabelled, id_col, text_col)
+    found = sample.mapInArrow(_training_rows(), "label int, f array<int>, c array<int>, fixed int").toArrow()
     y = np.array(found["label"].to_pylist(), dtype=np.int64)
     f, c = ([a.values.to_numpy() for a in found.column(x)] for x in ("f", "c"))
     order = sorted(range(len(y)), key=lambda i: (y[i], len(f[i]), f[i].tobytes(), c[i].tobytes()))
     rows, y, fixed = [(f[i], c[i]) for i in order], y[order], np.array(found["fixed"].to_pylist(), dtype=np.int64)[order]
-    if not len(y) or y.min() == y.max():
-        return {"features": np.zeros(0, dtype=np.int64), "weight": np.zeros(0), "bias": 0.0}
-    features, lexicon = mine(rows, y, kept)
+    nothing = {"features": np.zeros(0, dtype=np.int64), "weight": np.zeros(0), "bias": 0.0}
+    if not len(y):
+        return nothing
+    known = np.flatnonzero(y >= 0)
+    lexicon = mine([rows[i] for i in known], y[known], kept)[1] if len(np.unique(y[known])) == 2 else np.zeros(1 << BITS, dtype=np.int8)
     own = np.concatenate([_lexicon_votes(lexicon, np.zeros(len(a), dtype=np.int64), a, b, 1) for a, b in rows])
     votes = np.concatenate([(fixed[:, None] >> np.arange(3)) & 1, own], axis=1).astype(np.float64)
 
@@ -261,12 +308,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out:
     gold = np.stack([np.bincount(code[y == k], minlength=len(n)) for k in (0, 1)], axis=1).astype(np.float64)
     seen = np.flatnonzero((n > 0) | (gold.sum(axis=1) > 0))
     patterns = ((seen[:, None] >> np.arange(votes.shape[1])) & 1).astype(np.float64)
-    model = label_model(patterns, np.maximum(n, gold.sum(axis=1))[seen], gold[seen])
+    model = label_model(patterns, np.maximum(n, gold.sum(axis=1))[seen], gold[seen], correlated=correlated)
 
+    posterior = given_label(label_posterior(model, votes), y)
+    if posterior.max() <= 0.5:
+        return nothing | {"label_model": model}
+    features = mine(rows, (posterior > 0.5).astype(np.int64), kept)[0]
     at = np.full(1 << BITS, -1, dtype=np.int64)
     at[features] = np.arange(len(features))
     dense = [(at[a][at[a] >= 0], np.log1p(b)[at[a] >= 0]) for a, b in rows]
-    weight, bias = train_linear(dense, label_posterior(model, votes, y), len(features))
+    weight, bias = train_linear(dense, posterior, len(features))
     return {"features": features, "weight": weight, "bias": bias, "label_model": model}
 
 
@@ -274,6 +325,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
     """doc_id, held_out, score, predicted for every document."""
     model = fit(docs, labels, held_out=held_out, modulus=modulus, id_col=id_col, text_col=text_col, **settings)
     shared = docs.sparkSession.sparkContext.broadcast((model["features"], model["weight"], model["bias"]))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = base.mapInArrow(_scores(shared), "doc_id long, score double")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = base.mapInArrow(_scores(shared), f"doc_id {type_of(base, 'doc_id')}, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -4,16 +4,19 @@ A rule (host, path, verdict) fits its host and all subdomains if the url's path
 longest rule wins (host and path together; equally long ones by text). Rules are configuration: they become one
 literal in the plan, looked up by each of the host's suffixes.
 
-The trees see lengths of url, host, path and query, depth, labels, hyphens, digit ratios, character entropy,
-parameter counts, longest path part, and statistics of the host's suffix: its smoothed rate of blocked urls
-and its frequency among the labelled ones. They are trained on labelled urls: a table (url, blocked) given by
-the caller, of which at most `bound` (parameter, 6000, the lowest by a hash) are used, together with
-`examples` made-up ones (parameter, 2000) of two kinds: short readable addresses of pages, and addresses
-stuffed with digits, parameters and hyphenated host names. Everything is SQL expressions and Spark ML.
+The trees see lengths of url, host and path and query, depth, labels, hyphens, digit ratios, character entropy,
+parameter counts, longest path part, and statistics of the host's suffix (its last two labels): the smoothed rate of
+blocked urls and the number of urls, counted over all distinct labelled urls. They are trained on labelled urls:
+a table (url, blocked) given by the caller, of which at most `bound` (parameter, 6000, the lowest by a hash) are
+used, together with `examples` made-up ones (parameter, 2000) of two kinds: short readable addresses of pages, and
+addresses stuffed with digits, parameters and hyphenated host names. The suffix statistics that a training url
+sees are cross-fitted: those of the other `FOLDS` - 1 folds, so no url's own label is among its features; made-up urls are
+in no statistic. Everything is SQL expressions and Spark ML.
 
 Defined results: a null url or one without "://" has host and path empty, and the verdict of the trees for an
-empty url; repeated rows each get a row; without labelled urls the made-up ones train alone; other columns
-are ignored.
+empty url; repeated rows each get a row, and urls train and count once (labelled both ways: as blocked); without
+labelled urls the made-up ones train alone; very long urls are read whole; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.sources.tables import cut
+from ratelens.sources.tables import cut, drop
 
 #: (rule as host + path, verdict)
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 NAMES = ["url_size", "host_size", "path_size", "query_size", "depth", "labels", "hyphens", "digits", "path_digits", "entropy", "parameters", "longest", "suffix_blocked", "suffix_known"]
-#: Suffix statistics kept: those of the most frequent suffixes; others have the overall rate.
-SUFFIXES = 1000
+FOLDS = 5
+#: Suffix statistics (some 60 bytes each) are broadcast up to this many; beyond, the join shuffles urls by suffix.
+BROADCAST_SUFFIXES = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -64,8 +68,15 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def _features(rows: DataFrame, statistics: DataFrame, overall: float) -> DataFrame:
-    """rows need url, host, path."""
+def _with_suffix(rows: DataFrame, statistics: DataFrame) -> DataFrame:
+    """rows with the labelled urls of their host's suffix: `urls` and `blocked_urls`."""
+    if statistics.count() <= BROADCAST_SUFFIXES:
+        statistics = F.broadcast(statistics)
+    return rows.join(statistics, suffix_of(F.col("host")) == F.col("suffix"), "left").drop("suffix")
+
+
+def _features(rows: DataFrame, overall: float) -> DataFrame:
+    """rows need url, host, path, urls, blocked_urls."""
     url = F.coalesce(F.col("url"), F.lit(""))
     chars = F.split(url, "")
     size = F.greatest(F.lit(1), F.length(url)).cast("double")
@@ -74,10 +85,10 @@ def _features(rows: DataFrame, statistics: DataFrame, overall: float) -> DataFra
         count = lambda c: F.size(F.filter(chars, lambda x: x == c)) / size
         return -F.aggregate(F.transform(F.array_distinct(chars), count), F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
-    known = rows.join(F.broadcast(statistics), suffix_of(F.col("host")) == F.col("suffix"), "left")
+    urls = F.coalesce("urls", F.lit(0))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    return known.select(
-        *rows.columns,
+    return rows.select(
+        *(c for c in rows.columns if c not in ("urls", "blocked_urls")),
         F.length(url).cast("double").alias("url_size"),
         F.length("host").cast("double").alias("host_size"),
         F.length("path").cast("double").alias("path_size"),
@@ -90,8 +101,8 @@ def _features(rows: DataFrame, statistics: DataFrame, overall: float) -> DataFra
         entropy().alias("entropy"),
         F.regexp_count(query, F.lit("[^&=]+=")).cast("double").alias("parameters"),
         F.array_max(F.transform(F.split("path", "/"), F.length)).cast("double").alias("longest"),
-        F.coalesce("blocked_rate", F.lit(overall)).alias("suffix_blocked"),
-        F.coalesce(F.log1p("urls"), F.lit(0.0)).alias("suffix_known"),
+        ((F.coalesce("blocked_urls", F.lit(0)) + 10 * overall) / (urls + 10)).alias("suffix_blocked"),
+        F.log1p(urls).alias("suffix_known"),
     )
 
 
@@ -115,14 +126,24 @@ def example_urls(spark: SparkSession, examples: int = 2000) -> DataFrame:
 def fit(labelled: DataFrame, bound: int = 6000, examples: int = 2000, rounds: int = 12, depth: int = 4) -> tuple[GBTClassificationModel, DataFrame, float]:
     """(model, suffix statistics, overall rate of blocked) from labelled urls (url, blocked)."""
     spark = labelled.sparkSession
-    some = labelled.select("url", F.col("blocked").cast("int").alias("blocked")).where("url is not null and blocked in (0, 1)").orderBy(F.xxhash64("url"), "url", "blocked").limit(bound)
-    rows = cut(some.unionByName(example_urls(spark, examples)).select("url", "blocked", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "url-label")
-    overall = rows.agg(F.avg("blocked")).first()[0]
-    statistics = rows.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("urls"), ((F.sum("blocked") + 10 * overall) / (F.count("*") + 10)).alias("blocked_rate"))
-    statistics = cut(statistics.orderBy(F.desc("urls"), "suffix").limit(SUFFIXES), "url-suffix")
-    data = VectorAssembler(inputCols=NAMES, outputCol="features").transform(_features(rows, statistics, overall)).select("features", F.col("blocked").cast("double").alias("label"))
+    known = labelled.select("url", F.col("blocked").cast("int").alias("blocked")).where("url is not null and blocked in (0, 1)")
+    known = cut(known.groupBy("url").agg(F.max("blocked").alias("blocked")), "url-label")
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+    by_fold = cut(known.groupBy(suffix_of(host_of(F.col("url"))).alias("suffix"), fold.alias("fold")).agg(F.count("*").alias("urls"), F.sum("blocked").alias("blocked_urls")), "url-fold")
+    statistics = cut(by_fold.groupBy("suffix").agg(F.sum("urls").alias("urls"), F.sum("blocked_urls").alias("blocked_urls")), "url-suffix")
+    total = statistics.agg(F.sum("urls").alias("urls"), F.sum("blocked_urls").alias("blocked")).first()
+    overall = total["blocked"] / total["urls"] if total["urls"] else 0.5
+    some = known.orderBy(F.xxhash64("url"), "url").limit(bound).withColumn("own", fold)
+    rows = some.unionByName(example_urls(spark, examples).withColumn("own", F.lit(-1).cast("long")))
+    rows = _with_suffix(rows.select("url", "blocked", "own", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), statistics)
+    mine = by_fold.select("suffix", "fold", F.col("urls").alias("own_urls"), F.col("blocked_urls").alias("own_blocked"))
+    rows = rows.join(mine, (suffix_of(F.col("host")) == F.col("suffix")) & (F.col("own") == F.col("fold")), "left")
+    rows = rows.withColumns({"urls": F.col("urls") - F.coalesce("own_urls", F.lit(0)), "blocked_urls": F.col("blocked_urls") - F.coalesce("own_blocked", F.lit(0))})
+    data = VectorAssembler(inputCols=NAMES, outputCol="features").transform(_features(rows, overall)).select("features", F.col("blocked").cast("double").alias("label"))
     data = cut(data.coalesce(2), "url-train")
-    return GBTClassifier(maxIter=rounds, maxDepth=depth, seed=3, stepSize=0.2).fit(data), statistics, overall
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=3, stepSize=0.2).fit(data)
+    drop(known, by_fold, data)
+    return model, statistics, overall
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, **settings) -> DataFrame:
@@ -136,7 +157,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled:
     if labelled is None:
         labelled = rows.where("fit is not null").select("url", (F.col("fit.verdict") == "block").cast("int").alias("blocked"))
     model, statistics, overall = fit(labelled, **settings)
-    described = VectorAssembler(inputCols=NAMES, outputCol="features").transform(_features(rows, statistics, overall))
+    described = VectorAssembler(inputCols=NAMES, outputCol="features").transform(_features(_with_suffix(rows, statistics), overall))
     scored = model.transform(described).withColumn("score", F.round(vector_to_array("probability")[1], 9))
     verdict = F.coalesce("fit.verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("fit").isNull(), F.col("score")).alias("score"))

@@ -111,6 +111,15 @@ def test_chat_plan_is_native(spark, capsys):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_chat_with_long_roles(spark):
+    roles = ["r" * 20_000, "\\" * 5_000 + "\n" * 3_000, "a\\\nb", "\n", "\\"]
+    rows = [(i, 0, r, f"text\nof {i}") for i, r in enumerate(roles)]
+    out = chat.digest(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    for r in out:
+        role, text = rows[r.conv_id][2:]
+        assert r.turns_sha256 == hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest()
+
+
 # Media
 
 
