@@ -54,16 +54,27 @@ def credit_card_cost(monthly_fee: Column, cash: Column, cash_fee_pct: Column, ca
     return 12 * monthly_fee + F.when(cash > 0, F.greatest(cash * cash_fee_pct / 100, cash_fee_min)).otherwise(0.0)
 
 
-def implied_rate(principal: Column, payment: Column, months: Column, steps: int = 80, low: float = 1e-4, high: float = 2.0, ceiling_pct: float = 199.0) -> Column:
-    """Yearly rate in percent at which the annuity is the payment, by bisection as a fold; NULL near the ceiling."""
+def implied_rate(principal: Column, payment: Column, months: Column, steps: int = 16, floor_pct: float = 0.01, ceiling_pct: float = 199.0) -> Column:
+    """Yearly rate in percent at which the annuity is the payment; NULL if the payments don't exceed the loan or the rate nears the ceiling.
 
-    def halve(box: Column, _: Column) -> Column:
-        mid = (box["lo"] + box["hi"]) / 2
-        high_side = annuity(principal, mid * 100, months) > payment
-        return F.struct(F.when(high_side, box["lo"]).otherwise(mid).alias("lo"), F.when(high_side, mid).otherwise(box["hi"]).alias("hi"))
+    The annuity is convex and increasing in the rate and payment / principal is not below its root, so Newton's steps fall to the
+    root from there; 16 of them are beyond a double's precision for any rate up to the ceiling.
+    """
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")), halve, lambda b: (b["lo"] + b["hi"]) / 2 * 100)
-    return F.when(found < ceiling_pct, found)
+    def step(q: Column, _: Column) -> Column:
+        def of(u: Column) -> Column:
+            rest = 1 - u
+            return q - (principal * q / rest - payment) / (principal * (rest - months * q * u / (1 + q)) / (rest * rest))
+
+        # A one-element array binds the power, so that it is computed once a step.
+        return F.get(F.transform(F.array(F.pow(1 + q, -months)), of), F.lit(0))
+
+    def finish(q: Column) -> Column:
+        pct = F.greatest(q * 1200, F.lit(floor_pct))
+        return F.when(pct < ceiling_pct, pct)
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), (payment / principal).cast("double"), step, finish)
+    return F.when((principal > 0) & (months > 0) & (payment * months > principal), found)
 
 
 def payroll_potential(employees: Column, salary: Column, share: float = 0.5, package_yield: float = 0.02, months: int = 12) -> Column:

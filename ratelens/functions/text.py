@@ -8,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cyrillic letters with one Latin letter each, and those with several.
-CYRILLIC_ONE = ("абвгдезийклмнопрстуфыэё", "abvgdezijklmnoprstufyee")
-CYRILLIC_MANY = (("ж", "zh"), ("х", "h"), ("ц", "c"), ("ч", "ch"), ("ш", "sh"), ("щ", "sch"), ("ъ", ""), ("ь", ""), ("ю", "yu"), ("я", "ya"))
-#: Legal forms that don't belong to an organisation's name.
-LEGAL_FORMS = r"(?iu)(?<![\p{L}\d])(ооо|оао|зао|пао|ао|ип|гуп|муп|гбу|мбу|фгуп|нко|llc|ltd|inc|jsc)(?![\p{L}\d])"
+# Transliteration of names, letter by letter.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya".replace("-", "").split(" ")))
+# Legal forms that don't belong to an organisation's name.
+LEGAL_FORMS = r"(?iu)(?<![\p{L}\d])(ооо|оао|зао|пао|ао|гуп|муп|гбу|гбуз|фгуп|фгбу|нко|ип)(?![\p{L}\d])"
+# Stems of month names in dates.
+MONTHS = {"январ": 1, "феврал": 2, "март": 3, "апрел": 4, "ма": 5, "июн": 6, "июл": 7, "август": 8, "сентябр": 9, "октябр": 10, "ноябр": 11, "декабр": 12}
+# Words before a date that make it the end of an offer, words that make it a condition, and words of an ended offer.
+EXPIRY_WORDS = "акци предложени действу действительн срок продлен продлится успейте оформите откройте подключите активируйте станьте получите соверши купите переведите".split()
+QUALIFIERS = "полученн оформленн выпущенн открыт заключённ заключенн совершённ совершенн выданн зарегистрированн".split()
+FINISHED = r"(?iu)акция\s+(завершена|окончена|завершилась)|предложение\s+(завершено|окончено)"
 NUMBER = r"\d+(?:[   ]\d{3})*(?:[.,]\d+)?"
 #: Query parameters that only track a visit.
 TRACKING = r"utm_[^=&#]*=[^&#]*"
@@ -32,12 +37,16 @@ def organisation_name(text: Column) -> Column:
 
 
 def slug(text: Column, size: int = 40) -> Column:
-    """Latin slug: Cyrillic transliterated, other characters to single hyphens."""
+    """Latin slug: Cyrillic transliterated, other characters to single hyphens, none at either end of the cut."""
     low = F.lower(text)
-    for a, b in CYRILLIC_MANY:
-        low = F.regexp_replace(low, a, b)
-    low = F.translate(low, *CYRILLIC_ONE)
-    return F.left(F.trim(F.regexp_replace(low, "[^a-z0-9]+", "-"), F.lit("-")), F.lit(size))
+    single = {a: b for a, b in CYRILLIC.items() if len(b) <= 1}
+    for a, b in CYRILLIC.items():
+        if a not in single:
+            low = F.replace(low, F.lit(a), F.lit(b))
+    kept = [a for a, b in single.items() if b]
+    low = F.translate(low, "".join(kept + [a for a, b in single.items() if not b]), "".join(single[a] for a in kept))
+    hyphen = F.lit("-")
+    return F.trim(F.left(F.trim(F.regexp_replace(low, "[^a-z0-9]+", "-"), hyphen), F.lit(size)), hyphen)
 
 
 def numbers(text: Column) -> Column:
@@ -101,24 +110,68 @@ def term_days(text: Column) -> Column:
     return F.struct(F.when(is_range, low_days).alias("min_days"), F.when(is_range, days(second, second_unit)).alias("max_days"), F.when(known, F.array_sort(F.array_distinct(F.when(known, values)))).alias("values"))
 
 
+def _first_amount(low: Column, pattern: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(low, pattern, 1), r"[\s\u00a0]", ""), ",", ".").try_cast("double")
+
+
 def benefit(text: Column) -> Column:
-    """struct<type, value, unit> of a promotion, in fixed precedence: cashback, points, money, rate, discount, prize."""
+    """struct<type, value, unit> of a promotion.
+
+    In fixed precedence: rate, cashback, points, prize, discount, free, money, other. Cashback and discounts are in percent
+    if the text has a percentage, else in roubles.
+    """
+    low = F.lower(text)
+    percent = _first_amount(low, r"(\d{1,3}(?:[.,]\d{1,2})?)\s*%")
+    rub = _first_amount(low, r"(\d[\d\s\u00a0]{0,30}+)(?:₽|руб)")
+    points = _first_amount(low, r"(\d[\d\s\u00a0]{0,30}+)(?:[а-яё]{1,30}+\s{1,5}+){0,2}балл")
+    either = F.coalesce(percent, rub)
+    cases = [
+        ("rate", low.rlike("ставк"), percent, "%"),
+        ("cashback", low.rlike("кешб[эе]к|кэшб[эе]к|верн[её]м|возврат"), either, None),
+        ("points", low.rlike("балл"), points, "pts"),
+        ("prize", low.rlike("розыгрыш|выиграй|приз|лотере"), rub, "rub"),
+        ("discount", low.rlike("скидк"), either, None),
+        ("free", low.rlike(r"бесплатн|без комиссии|0\s*₽"), F.lit(None).cast("double"), ""),
+        ("money", rub.isNotNull(), rub, "rub"),
+    ]
+    found = F.struct(F.lit("other").alias("type"), percent.alias("value"), F.when(percent.isNotNull(), "%").otherwise("").alias("unit"))
+    for kind, test, value, unit in reversed(cases):
+        unit = F.when(percent.isNotNull(), "%").otherwise("rub") if unit is None else F.lit(unit)
+        found = F.when(test, F.struct(F.lit(kind).alias("type"), value.alias("value"), unit.alias("unit"))).otherwise(found)
+    return found
+
+
+def promo_until(text: Column) -> Column:
+    """struct<day, dated> of the end of an offer: the first valid date that an expiry word precedes within 60 characters.
+
+    Numeric dates come before written ones. A date right after a participle ("cards issued before ...") is a condition and not an
+    end. dated is false where the year is not given; day is then null.
+    """
     low = F.lower(text)
-    percent = F.regexp_replace(F.regexp_extract(low, r"(\d+(?:[.,]\d+)?)\s*%", 1), ",", ".").try_cast("double")
-    rub = F.regexp_replace(F.regexp_extract(low, r"(\d+(?:[  ]\d{3})*)\s*(?:₽|руб|rub)", 1), "[  ]", "").try_cast("double")
-    points = F.regexp_replace(F.regexp_extract(low, r"(\d+(?:[  ]\d{3})*)\s*(?:балл|бонус|point)", 1), "[  ]", "").try_cast("double")
-    cashback, discount, rate, prize = low.rlike("кэшб|кешб|cashback"), low.rlike("скидк|discount"), low.rlike("ставк|годовых|rate"), low.rlike("розыгрыш|приз|prize")
-    kind = F.when(cashback & percent.isNotNull(), "cashback").when(prize, "prize").when(points.isNotNull(), "points").when(discount & percent.isNotNull(), "discount").when(rate & percent.isNotNull(), "rate").when(rub.isNotNull(), "money").otherwise("other")
-    value = F.when(kind.isin("cashback", "discount", "rate"), percent).when(kind == "points", points).when(kind.isin("money", "prize"), rub)
-    unit = F.when(kind.isin("cashback", "discount", "rate"), "%").when(kind == "points", "pts").when(kind.isin("money", "prize") & rub.isNotNull(), "rub")
-    return F.struct(kind.alias("type"), value.alias("value"), unit.alias("unit"))
+    near = "|".join(f"{w}.{{0,{60 - len(w)}}}" for w in EXPIRY_WORDS)
+    after = rf"(?us)(?<=(?:{near}))(?<!(?:{'|'.join(QUALIFIERS)})[а-яё]{{0,12}}\s{{0,4}})"
+    numeric = F.transform(F.regexp_extract_all(low, F.lit(after + r"(?:по|до)\s+(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})"), F.lit(1)), lambda d: F.regexp_replace(d, r"[\-/]", "."))
+    whole = F.transform(numeric, lambda d: F.regexp_replace(d, r"\.(\d\d)$", ".20$1"))
+    days = F.filter(F.transform(whole, lambda d: F.try_to_date(d, "d.M.yyyy")), lambda d: d.isNotNull())
+    written = F.regexp_extract_all(low, F.lit(after + r"(?:по|до|включительно по)\s+(\d{1,2}\s+[а-я]+\s*(?:\d{4})?)"), F.lit(1))
+
+    def read(d: Column) -> Column:
+        word, month = F.regexp_extract(d, r"\d+\s+([а-я]+)", 1), F.lit(None).cast("int")
+        for stem, number in reversed(MONTHS.items()):
+            month = F.when(F.startswith(word, F.lit(stem)), number).otherwise(month)
+        year = F.regexp_extract(d, r"(\d{4})$", 1)
+        day = F.regexp_extract(d, r"^(\d+)", 1)
+        valid = F.try_to_date(F.concat(day, F.lit("."), month.cast("string"), F.lit("."), F.when(year == "", F.lit("2000")).otherwise(year)), "d.M.yyyy")
+        return F.struct(F.when(year != "", valid).alias("day"), (year != "").alias("dated"), valid.isNotNull().alias("valid"))
+
+    first = F.get(F.filter(F.transform(written, read), lambda r: r["valid"]), F.lit(0))
+    return F.when(F.size(days) > 0, F.struct(F.get(days, F.lit(0)).alias("day"), F.lit(True).alias("dated"))).otherwise(F.struct(first["day"].alias("day"), F.coalesce(first["dated"], F.lit(False)).alias("dated")))
 
 
 def promo_status(text: Column, today: Column) -> Column:
-    """expired, active or undated: the latest dd.mm.yyyy after "until" words decides; a date without a year can't expire."""
-    dated = F.regexp_extract_all(F.lower(text), F.lit(r"(?:до|по|until|till)\s+(\d{1,2}\.\d{1,2}\.\d{4})"), F.lit(1))
-    until = F.array_max(F.transform(dated, lambda d: F.try_to_date(d, "d.M.yyyy")))
-    return F.when(F.lower(text).rlike("акция завершена|offer has ended"), "expired").when(until.isNull(), "undated").when(until < today, "expired").otherwise("active")
+    """expired, active or undated; an offer that says it has ended is expired, a date without a year can't expire."""
+    until = promo_until(text)["day"]
+    return F.when(text.rlike(FINISHED), "expired").when(until.isNull(), "undated").when(until < today, "expired").otherwise("active")
 
 
 def tax_id_valid(digits: Column) -> Column:
@@ -160,7 +213,7 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(rows, r"<[^<>]*>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")):
         text = F.regexp_replace(text, a, b)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r ]+", " "), r" ?\n[\n ]*", "\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\u00a0]+", " "), r" ?\n[\n ]*", "\n"), F.lit(" \n"))
 
 
 def is_blocked_page(status: Column, body: Column) -> Column:

@@ -70,6 +70,12 @@ def leader_gap(best: DataFrame, higher_is_better: bool = True) -> DataFrame:
     return ranked.where("place = 1").select("program", F.col("bank").alias("leader"), F.col("value").alias("leader_value"), "runner_up_value", F.round(F.abs(F.col("value") - F.col("runner_up_value")), 3).alias("gap"))
 
 
+def showcase_rate(low: Column, high: Column, higher_is_better: Column | bool) -> Column:
+    """The bound of a rate range that is advertised and compared: the upper one for savings, the lower one for loans; the other one where that is missing."""
+    better = F.lit(higher_is_better) if isinstance(higher_is_better, bool) else higher_is_better
+    return F.when(better, F.coalesce(high, low)).otherwise(F.coalesce(low, high))
+
+
 def traffic_light(best: DataFrame, home: Column, parity: float = 0.5, loss: float = 1.0, higher_is_better: bool = True) -> DataFrame:
     """Home bank against every rival of a program: delta and light (red, yellow, green; grey without a home value)."""
     mine = best.where(F.col("bank") == home).select("program", F.col("value").alias("home_value"))

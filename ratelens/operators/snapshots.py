@@ -30,12 +30,15 @@ def as_of(facts: DataFrame, at: str, values: DataFrame, since: str, value: str,
     """Adds the value in force at each fact's time: the newest one not after it.
 
     values is a dimension of validity starts; it becomes intervals [since, next), and facts join the
-    interval by day, so the join is an equi-join: each interval is unrolled to its days. Values past the
-    look-back count as unknown.
+    interval by day, so the join is an equi-join: each interval is unrolled to its days, the last one up to the
+    latest fact. With a look-back, values older than that count as unknown; without one they stay in force.
     """
     until = F.lead(since).over(Window.orderBy(since))
-    last = F.date_add(F.col(since).cast("date"), lookback_days or 400)
-    spans = values.select(F.col(since).cast("date").alias("__from"), F.col(value), F.coalesce(F.date_sub(until.cast("date"), 1), last).alias("__to")).withColumn("__to", F.least("__to", F.date_add("__from", lookback_days or 400)))
+    latest = facts.agg(F.max(F.to_date(at)).alias("__latest"))  # one row
+    spans = values.select(F.col(since).cast("date").alias("__from"), F.col(value), F.date_sub(until.cast("date"), 1).alias("__until")).crossJoin(F.broadcast(latest))
+    spans = spans.withColumn("__to", F.coalesce(F.least("__until", "__latest"), "__latest"))
+    if lookback_days is not None:
+        spans = spans.withColumn("__to", F.least("__to", F.date_add("__from", lookback_days)))
     days = spans.where("__to >= __from").select(F.explode(F.sequence("__from", "__to")).alias("__day"), value, F.col("__from").alias("in_force_since"))
     return facts.join(days, F.to_date(at) == F.col("__day"), "left").drop("__day")
 

@@ -271,8 +271,8 @@ def segment_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {OFFERS}, tags AS (SELECT category, bank, l_partkey, max(rate) AS rate, list_sort(list_distinct(string_split(max(program), ' '))) AS tags FROM offers GROUP BY 1, 2, 3),
     scored AS (
       SELECT h.l_partkey AS home_part, r.bank, r.l_partkey AS rival_part, r.rate,
-             1 + 3 * len(list_intersect(h.tags, r.tags)) - 2 * len(list_filter(r.tags, lambda x: NOT list_contains(h.tags, x))) - len(list_filter(h.tags, lambda x: NOT list_contains(r.tags, x)))
-             - CASE WHEN list_contains(h.tags, 'PROMO') <> list_contains(r.tags, 'PROMO') THEN 10 ELSE 0 END AS score
+             CASE WHEN list_contains(h.tags, 'PROMO') <> list_contains(r.tags, 'PROMO') THEN -10 ELSE
+             1 + 3 * len(list_intersect(h.tags, r.tags)) - 2 * len(list_filter(r.tags, lambda x: NOT list_contains(h.tags, x))) - len(list_filter(h.tags, lambda x: NOT list_contains(r.tags, x))) END AS score
       FROM tags h JOIN tags r USING (category) WHERE h.bank = 1 AND r.bank <> 1),
     top AS (SELECT *, row_number() OVER (PARTITION BY home_part, bank ORDER BY score DESC, rate DESC, rival_part DESC) AS n FROM scored WHERE score >= 1)
     SELECT home_part, bank, rival_part, rate, score, score >= 2 AS close FROM top WHERE n = 1""",

@@ -49,6 +49,10 @@ def test_cards(spark):
 def test_implied_rate_inverts_annuity(spark):
     assert one(spark, finance.implied_rate(F.lit(300000.0), F.lit(11149.07), F.lit(36))) == pytest.approx(20.0, abs=0.001)
     assert one(spark, finance.implied_rate(F.lit(1000.0), F.lit(900.0), F.lit(12))) is None
+    assert one(spark, finance.implied_rate(F.lit(1000.0), F.lit(50.0), F.lit(20))) is None  # payments equal the loan
+    for rate, months in ((0.02, 6), (0.5, 360), (13.8, 1), (60.0, 84), (198.0, 3), (198.0, 360)):
+        payment = finance.annuity(F.lit(250000.0), F.lit(rate), F.lit(months))
+        assert one(spark, finance.implied_rate(F.lit(250000.0), payment, F.lit(months))) == pytest.approx(rate, abs=1e-4)
 
 
 def test_payroll(spark):

@@ -30,12 +30,13 @@ def value(x):
 
 
 def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    whole = [c for c in frame.columns if frame[c].dtype.kind == "f" and frame[c].dropna().map(float.is_integer).all()]
-    frame = frame.astype({c: object for c in frame.columns})
-    for c in whole:
-        frame[c] = frame[c].map(lambda v: v if v is None or v != v else int(v))
-    return sorted(tuple(map(value, r)) for r in frame.itertuples(index=False))
+    """Rows as tuples of text; columns of whole numbers compare as integers, whatever type holds them."""
+    columns = []
+    for c in sorted(frame.columns):
+        values = frame[c].tolist()
+        whole = frame[c].dtype.kind == "f" and all(v is None or v != v or float(v).is_integer() for v in values)
+        columns.append([int(v) if whole and v is not None and v == v else v for v in values])
+    return sorted(tuple(map(value, r)) for r in zip(*columns))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
