@@ -7,7 +7,8 @@ secrets     secrets in texts are replaced by [SECRET], n_chars follows
 mix         documents that the mix takes words from, with the number it takes in mix_words
 
 All but the last return the columns of documents. There is no SQL for the whole (a factorisation machine is
-trained in it); tests hold every stage against a brute-force version.
+trained in it); tests/llm/test_pipeline.py holds every stage against a brute-force version.
+A stage's table is removed once the next one is written.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ratelens.llm import decontaminate, mixing, near_dup, quality_fm, secrets_rf
-from ratelens.sources.tables import cut, table
+from ratelens.sources.tables import cut, drop, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
