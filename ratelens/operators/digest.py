@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratelens.sources.tables import cut
+
 
 def unseen(posts: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Posts whose key is not known yet, each once (the earliest by all columns of the key)."""
@@ -65,9 +67,18 @@ def merged_errors(errors: DataFrame, group: list[str], key: str, value: str, ord
 
 
 def popularity(links: DataFrame, target: str, position: str) -> DataFrame:
-    """Crawl order: the most referenced url first, then the one found earliest."""
+    """Crawl order: the most referenced url first, then the one found earliest.
+
+    Urls are range-partitioned in that order and numbered within their range; a range starts after the rows of those before
+    it, so no task sees more than its range.
+    """
     counts = links.groupBy(target).agg(F.count("*").alias("references"), F.min(position).alias("first_seen"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("references"), "first_seen", target)))
+    order = [F.desc("references"), F.asc("first_seen"), F.asc(target)]
+    ranged = cut(counts.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "frontier")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = ranged.groupBy("__range").agg(F.count("*").alias("__rows")).select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return placed.join(F.broadcast(starts), "__range").select(target, "references", "first_seen", (F.col("place") + F.col("__start")).alias("place"))
 
 
 def duration_estimate(runs: DataFrame, group: str, order: str, minutes: str, last: int = 5) -> DataFrame:

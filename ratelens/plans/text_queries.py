@@ -45,10 +45,13 @@ def content_store_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM w WHERE near = 1 GROUP BY 1""",
 )
 def lines_with_digits_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    around = Window.partitionBy("doc_id").orderBy("n").rowsBetween(-1, 1)
-    near = lines.withColumn("near", F.max(F.col("line").rlike("[0-9]")).over(around)).where("near")
-    return near.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    """Within each text's own array of lines, so nothing is exploded or shuffled."""
+    lines = F.split("text", "\n")
+    digits = F.transform("lines", lambda x: x.rlike("[0-9]"))
+    near = F.filter("lines", lambda x, i: F.coalesce(F.get("digits", i - 1), F.lit(False)) | F.get("digits", i) | F.coalesce(F.get("digits", i + 1), F.lit(False)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).withColumn("digits", digits).select("doc_id", near.alias("near"))
+    chars = F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return rows.where("size(near) > 0").select("doc_id", F.size("near").cast("long").alias("lines"), chars.alias("chars"))
 
 
 @query("url_strip_tracking", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '([?&])utm_[^=&#]*=[^&#]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&', '?', 'g'), '[?&]+(#|$)', '\1', 'g') AS url FROM pages")
@@ -114,3 +117,41 @@ def history_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = _titles(spark, sf_dir)
     old = titles.where("not fed").groupBy("title").agg(F.min("page_id").alias("page_id"), F.min("event").alias("event"))
     return matching.match_history(titles.where("fed").select("page_id", "title"), old, "page_id", "title", "event")
+
+
+#: Promotion texts made from the parts table: a kind of phrase, an amount and a unit.
+_OFFERS = """offers AS (
+  SELECT p_partkey AS promo, concat(
+    element_at_(p_partkey % 9, 'снизим ставку до', 'кешбэк', 'вернём', 'скидка', 'розыгрыш', 'обслуживание бесплатно', 'до', 'подарок', 'бонусных баллов'), ' ',
+    CAST(1 + p_partkey % 97 AS STRING_), element_at_(p_partkey % 5, ' %', ' 000 ₽', '5 руб', ' баллов', ' раз')) AS said FROM part)"""
+
+
+def _offers(spark_sql: bool) -> str:
+    """The same text in either dialect: picking from a list is elt() in one and a list subscript in the other."""
+    import re
+
+    def pick(m: re.Match) -> str:
+        number, options = m[1], m[2]
+        return f"elt(CAST({number} AS INT) + 1, {options})" if spark_sql else f"list_extract([{options}], CAST({number} AS INT) + 1)"
+
+    text_type = "STRING" if spark_sql else "VARCHAR"
+    return re.sub(r"element_at_\((p_partkey % \d), ([^)]*)\)", pick, _OFFERS).replace("STRING_", text_type)
+
+
+@query(
+    "promo_benefit",
+    f"""WITH {_offers(False)}, n AS (
+      SELECT promo, said,
+        TRY_CAST(replace(nullif(regexp_extract(said, '([0-9]{{1,3}}([.,][0-9]{{1,2}})?)\\s*%', 1), ''), ',', '.') AS DOUBLE) AS pct,
+        TRY_CAST(replace(nullif(regexp_extract(said, '([0-9][0-9 ]*)(₽|руб)', 1), ''), ' ', '') AS DOUBLE) AS rub,
+        TRY_CAST(replace(nullif(regexp_extract(said, '([0-9][0-9 ]*)([а-яё]+ +){{0,2}}балл', 1), ''), ' ', '') AS DOUBLE) AS pts FROM offers),
+    k AS (SELECT *, CASE WHEN contains(said, 'ставк') THEN 'rate' WHEN regexp_matches(said, 'кешб[эе]к|верн[её]м') THEN 'cashback' WHEN contains(said, 'балл') THEN 'points'
+      WHEN contains(said, 'розыгрыш') THEN 'prize' WHEN contains(said, 'скидк') THEN 'discount' WHEN regexp_matches(said, 'бесплатн|0 *₽') THEN 'free' WHEN rub IS NOT NULL THEN 'money' ELSE 'other' END AS kind FROM n)
+    SELECT promo, kind, CASE kind WHEN 'rate' THEN pct WHEN 'cashback' THEN coalesce(pct, rub) WHEN 'discount' THEN coalesce(pct, rub) WHEN 'points' THEN pts WHEN 'prize' THEN rub WHEN 'money' THEN rub WHEN 'other' THEN pct END AS amount,
+      CASE WHEN kind = 'rate' THEN '%' WHEN kind IN ('cashback', 'discount') THEN CASE WHEN pct IS NOT NULL THEN '%' ELSE 'rub' END WHEN kind = 'points' THEN 'pts' WHEN kind IN ('prize', 'money') THEN 'rub'
+        WHEN kind = 'other' AND pct IS NOT NULL THEN '%' ELSE '' END AS unit FROM k""",
+)
+def promo_benefit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _offers(True).replace("FROM part)", "FROM {part})")
+    found = spark.sql(f"WITH {said} SELECT * FROM offers", part=table(spark, sf_dir, "part")).withColumn("b", text.benefit(F.col("said")))
+    return found.select("promo", F.col("b.type").alias("kind"), F.col("b.value").alias("amount"), F.col("b.unit").alias("unit"))
