@@ -13,7 +13,8 @@ that rare ones keep theirs. It sees text and language only. Whole texts are read
 
 Defined results: a text that is null or has no letter is `und` with score 0; with no labelled rows all texts are
 `und`; with one language every text with a letter has it, with score 1; languages equally cheap go to the lower
-name; repeated rows each get a row; other columns are ignored.
+name; repeated rows each get a row and train once; ids may be of any type and keep it, null included; very long texts are read
+whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
