@@ -36,6 +36,11 @@ def organisation_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, LEGAL_FORMS, " "), r"\s+", " "))
 
 
+def plain_name(text: Column) -> Column:
+    """A product's name for comparison: lower case, ё as е, punctuation to blanks, blanks squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), "ё", "е"), "[«»\"'.,:;!?()]+", " "), r"\s+", " "))
+
+
 def slug(text: Column, size: int = 40) -> Column:
     """Latin slug: Cyrillic transliterated, other characters to single hyphens, none at either end of the cut."""
     low = F.lower(text)

@@ -87,12 +87,21 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(plain).alias("chars"), F.sha2(plain, 256).alias("sha"))
 
 
-@query("reference_check", "WITH f AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 = 0), t AS (SELECT DISTINCT left(text, 20) AS name FROM documents) SELECT item_id AS key, CASE WHEN item_id IN (SELECT doc_id FROM f) THEN 'key' WHEN left(text, 20) IN (SELECT name FROM t) THEN 'name' ELSE 'missing' END AS how FROM benchmark")
+_PLAIN = """trim(regexp_replace(regexp_replace(translate(lower(text), 'ё', 'е'), '[«»"''.,:;!?()]+', ' ', 'g'), '\\s+', ' ', 'g'))"""
+
+
+@query(
+    "reference_check",
+    f"""WITH d AS (SELECT doc_id, doc_id // 2 AS key, source = (SELECT min(source) FROM documents) AS listed, nullif({_PLAIN}, '') AS name FROM documents)
+    SELECT doc_id, CASE WHEN key IN (SELECT key FROM d WHERE NOT listed) THEN 'key' WHEN name IN (SELECT name FROM d WHERE NOT listed AND name IS NOT NULL) THEN 'name' ELSE 'missing' END AS how FROM d WHERE listed""",
+)
 def reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reference = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.left("text", F.lit(20)).alias("name"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(20)).alias("name"))
-    found = docs.select(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("key"), "name")
-    return matching.check_reference(reference, found, "key", "name")
+    """The first source's documents as the list, all other sources' as what was collected: by pairs of ids, then by whole texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("key"), "source", "text")
+    listed = docs.crossJoin(F.broadcast(docs.agg(F.min("source").alias("first")))).withColumn("listed", F.col("source") == F.col("first"))
+    reference = listed.where("listed").select(F.col("key").alias("pair"), "text", "doc_id")
+    found = matching.check_reference(reference, listed.where("not listed").select(F.col("key").alias("pair"), "text"), "pair", "text", keep=["doc_id"])
+    return found.select("doc_id", "how")
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
