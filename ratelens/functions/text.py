@@ -115,6 +115,61 @@ def term_days(text: Column) -> Column:
     return F.struct(F.when(is_range, low_days).alias("min_days"), F.when(is_range, days(second, second_unit)).alias("max_days"), F.when(known, F.array_sort(F.array_distinct(F.when(known, values)))).alias("values"))
 
 
+def rate_range(text: Column) -> Column:
+    """struct<low, high> of "от 16% до 20%", "до 16%", "от 5%", "28,0%"; NULL without a % or with more than two numbers."""
+    low = F.lower(F.translate(text, "\u00a0", " "))
+    found = F.transform(F.regexp_extract_all(low, F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+    one, size = F.get(found, F.lit(0)), F.size(found)
+    bounds = F.struct(F.when((size == 2) | ~F.startswith(low, F.lit("до")), F.array_min(found)).alias("low"), F.when((size == 2) | ~F.startswith(low, F.lit("от")), F.when(size == 2, F.array_max(found)).otherwise(one)).alias("high"))
+    return F.when(F.contains(low, F.lit("%")) & size.between(1, 2), bounds)
+
+
+def _with_units(text: Column, unit: str) -> Column:
+    """array<struct<value, unit, own>>: numbers of a text with their unit; one without takes that of the next number that has one."""
+    pattern = F.lit(r"(\d+(?:[ \u00a0]\d{3})*(?:[.,]\d+)?)(\D*)")
+    low = F.lower(text)
+    values = F.transform(F.regexp_extract_all(low, pattern, F.lit(1)), lambda x: F.replace(F.regexp_replace(x, r"[ \u00a0]", ""), F.lit(","), F.lit(".")).cast("double"))
+    units = F.transform(F.regexp_extract_all(low, pattern, F.lit(2)), lambda x: F.regexp_extract(x, unit, 1))
+
+    def read(value: Column, i: Column) -> Column:
+        later = F.filter(F.slice(units, i + 1, F.size(units)), lambda u: u != "")
+        return F.struct(value.alias("value"), F.coalesce(F.get(later, F.lit(0)), F.lit("")).alias("unit"), (F.get(units, i) != "").alias("own"))
+
+    return F.transform(values, read)
+
+
+def money_list(text: Column) -> Column:
+    """Sums of roubles in a text with a currency; a multiplier is inherited by numbers under 1000 only, results under 1000 are no sums."""
+    factor = {"млрд": 1e9, "млн": 1e6, "тыс": 1e3}
+
+    def amount(x: Column) -> Column:
+        by = F.lit(1.0)
+        for unit, times in factor.items():
+            by = F.when(x["unit"] == unit, times).otherwise(by)
+        return x["value"] * F.when(x["own"] | (x["value"] < 1000), by).otherwise(1.0)
+
+    found = F.filter(F.transform(_with_units(text, "(млрд|млн|тыс)"), amount), lambda v: v >= 1000)
+    return F.when(F.lower(text).rlike("₽|руб"), found).otherwise(F.array().cast("array<double>"))
+
+
+def term_months(text: Column) -> Column:
+    """Terms of a text in whole months: years by 12, days by 30 (half to even, one at least); numbers without a unit are no terms."""
+
+    def months(x: Column) -> Column:
+        days = F.greatest(F.lit(1), F.bround(x["value"] / 30).cast("int"))
+        return F.when(x["unit"].isin("лет", "год"), (x["value"] * 12).cast("int")).when(x["unit"] == "мес", x["value"].cast("int")).when(x["unit"] == "дн", days)
+
+    return F.array_compact(F.transform(_with_units(text, "(лет|год|мес|дн)"), months))
+
+
+def content_title(title: Column, organisations: Column) -> Column:
+    """A normalised title without the words of its organisations' names; empty if fewer than two words of four letters are left."""
+    names = F.flatten(F.transform(F.coalesce(organisations, F.array().cast("array<string>")), lambda o: F.split(organisation_name(o), " ")))
+    kept = F.filter(F.split(normalised(title), " "), lambda w: ~F.array_contains(names, w))
+    long_words = F.size(F.filter(kept, lambda w: F.length(w) >= 4))
+    return F.when(long_words >= 2, F.array_join(kept, " ")).otherwise("")
+
+
 def _first_amount(low: Column, pattern: str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_extract(low, pattern, 1), r"[\s\u00a0]", ""), ",", ".").try_cast("double")
 

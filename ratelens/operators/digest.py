@@ -87,3 +87,30 @@ def duration_estimate(runs: DataFrame, group: str, order: str, minutes: str, las
     mid = recent.groupBy(group).agg(F.round(F.median(minutes), 3).alias("median_minutes"))
     five = lambda f: (F.floor(F.col("median_minutes") * f / 5 + 0.5) * 5).cast("long")
     return mid.select(group, "median_minutes", five(0.85).alias("low"), five(1.15).alias("high"))
+
+
+def new_since(rows: DataFrame, keys: list[str], at: str, since: Column) -> DataFrame:
+    """Candidates by their first sighting, with whether it is new."""
+    return rows.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.count("*").alias("seen")).withColumn("is_new", F.col("first_seen") >= since)
+
+
+def merge_groups(posts: DataFrame, group: str, position: str, text: str, label: str, score: str) -> DataFrame:
+    """One row a group: its main post (the longest text, the earliest of equal ones), labels in order of appearance, highest score.
+
+    Labels are reduced to their first position before they are collected, so a group's array holds different labels only.
+    """
+    main = posts.groupBy(group).agg(F.min_by(position, F.struct(-F.length(F.coalesce(text, F.lit(""))), F.col(position))).alias("main"), F.max(score).alias("score"), F.count("*").alias("posts"))
+    firsts = posts.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.min(position).alias("p"))
+    labels = firsts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", label))), lambda x: x[label]).alias("labels"))
+    return main.join(labels, group, "left")
+
+
+def totals_known(rows: DataFrame, value: Column, *keys: str) -> DataFrame:
+    """Count, number with a known value, and their sum (NULL where none is known)."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("events"), F.count(value).alias("known"), F.round(F.sum(value), 2).alias("total"))
+
+
+def top_news(events: DataFrame, group: str, least: int = 3, n: int = 7, *ids: str) -> DataFrame:
+    """The n best events of each group at or above a score: by score, then those with a picture, then by id; a top-k report."""
+    w = Window.partitionBy(group).orderBy(F.desc("score"), F.when(F.col("image").isNotNull(), 0).otherwise(1), *ids)
+    return events.where(F.col("score") >= least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

@@ -135,3 +135,17 @@ def segment_verdict(best_home: DataFrame, best_rival: DataFrame, candidates: Dat
     decided = first.withColumn("verdict", F.when(edge == 0, "yellow").when(edge > 0, "green").otherwise("red"))
     segments = best_home.select("segment").union(best_rival.select("segment")).distinct()
     return segments.join(decided, "segment", "left").withColumn("verdict", F.coalesce("verdict", F.lit("grey")))
+
+
+def in_catalogue_order(products: DataFrame, categories: tuple[str, ...], group: str, category: str, title: str, product: str) -> DataFrame:
+    """Place of each product in its group: categories in a fixed order, others last, then by title without case."""
+    listed = F.array_position(F.array(*map(F.lit, categories)), F.col(category))
+    order = F.when(listed > 0, listed).otherwise(len(categories) + 1)
+    return products.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order, F.lower(title), product)))
+
+
+def in_choice_order(programs: DataFrame, preferred: tuple[str, ...], group: str) -> DataFrame:
+    """Place of each program in its group: those that two or more offer first, then preferred ones, then by kind and name."""
+    listed = F.array_position(F.array(*map(F.lit, preferred)), F.col("program"))
+    order = [-F.least(F.col("offers"), F.lit(2)), F.when(listed > 0, listed).otherwise(len(preferred) + 1), F.col("kind"), F.col("program")]
+    return programs.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))

@@ -87,3 +87,23 @@ def funnel(offers: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
     row = offers.agg(*counts)
     stacked = ", ".join(f"{i + 1}, '{name}', `{name}`" for i, (name, _) in enumerate(steps))
     return row.select(F.expr(f"stack({len(steps)}, {stacked}) AS (position, step, n)"))
+
+
+def parameter_coverage(planned: DataFrame, collected: DataFrame, keys: list[str], parameter: str) -> DataFrame:
+    """Share of each group's planned parameters that were collected with a value, in percent with one decimal."""
+    have = collected.where(F.col("value").isNotNull()).select(*keys, parameter).distinct().withColumn("have", F.lit(1))
+    joined = planned.select(*keys, parameter).distinct().join(have, [*keys, parameter], "left")
+    return joined.groupBy(*keys).agg(F.count("*").alias("planned"), F.count("have").alias("collected")).withColumn("coverage_pct", F.round(100.0 * F.col("collected") / F.col("planned"), 1))
+
+
+def collection_status(reads: DataFrame, *keys: str) -> DataFrame:
+    """reads: one row a source with `ok`. All failed: failed, some: partial, else ok."""
+    counts = reads.groupBy(*keys).agg(F.count("*").alias("sources"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"))
+    return counts.withColumn("status", F.when(F.col("failed") == F.col("sources"), "failed").when(F.col("failed") > 0, "partial").otherwise("ok"))
+
+
+def unknown_documents(products: DataFrame, known: DataFrame, product: str, document: str) -> DataFrame:
+    """products: one row a product and document. Number of each product's documents that are not known; complete if none."""
+    marked = products.join(known.select(document).distinct().withColumn("known", F.lit(1)), document, "left")
+    counts = marked.groupBy(product).agg(F.count(document).alias("documents"), F.count_if(F.col(document).isNotNull() & F.col("known").isNull()).alias("unknown"))
+    return counts.withColumn("complete", F.col("unknown") == 0)

@@ -129,3 +129,23 @@ def first_seen(rows: DataFrame, keys: list[str], day: str) -> DataFrame:
     first = rows.groupBy(*keys).agg(F.min(day).alias("first_day"))
     start = rows.agg(F.min(day).alias("__start"))
     return first.crossJoin(F.broadcast(start)).select(*keys, "first_day", (F.col("first_day") == F.col("__start")).alias("baseline"))
+
+
+def _severity_rank(severity: Column, order: tuple[str, ...]) -> Column:
+    return F.coalesce(F.array_position(F.array(*map(F.lit, order)), severity).cast("int") - 1, F.lit(-1))
+
+
+def at_least(changes: DataFrame, order: tuple[str, ...], least: str) -> DataFrame:
+    """Changes of at least a severity; order is from the lowest to the highest, an unknown severity counts as the lowest."""
+    return changes.where(F.greatest(_severity_rank(F.col("severity"), order), F.lit(0)) >= order.index(least))
+
+
+def highest_severity(changes: DataFrame, order: tuple[str, ...], *keys: str) -> DataFrame:
+    """The highest severity of each group's changes."""
+    top = F.max(F.greatest(_severity_rank(F.col("severity"), order), F.lit(0)))
+    return changes.groupBy(*keys).agg(F.count("*").alias("changes"), F.get(F.array(*map(F.lit, order)), top).alias("severity"))
+
+
+def in_severity_order(changes: DataFrame, order: tuple[str, ...], group: str, *ids: str) -> DataFrame:
+    """Place of each change in its group: the highest severity first, then by id."""
+    return changes.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(_severity_rank(F.col("severity"), order).desc(), *ids)))
