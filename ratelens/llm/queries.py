@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.llm import chat, decontaminate, language_ecoc, media_chunks, mixing, near_dup, quality_fm, secrets_rf, toxicity_ws, url_gbt
+from ratelens.llm import chat, decontaminate, graph_ann, language_ecoc, media_chunks, merkle, mixing, near_dup, quality_fm, resample, secrets_rf, toxicity_ws, url_gbt
 from ratelens.sources.tables import table
 
 
@@ -57,6 +57,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_resample_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP4_SQL = rf"""
@@ -149,6 +161,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_decontaminate": op10_decontaminate,
+    "op11_resample_ring": op11_resample_ring,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_graph_ann": op13_graph_ann,
 }
 
 ORACLES: dict[str, str] = {
