@@ -150,6 +150,78 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
+#: crc.v: the 256 values of the crc32 table.
+_CRC = r"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS v FROM steps WHERE k = 8)
+"""
+
+
+def _crc32(of: str) -> str:
+    """SQL of the unsigned crc32 of a string's UTF-8 bytes, where crc.v is at hand."""
+    byte = f"strpos('0123456789ABCDEF', hex({of})[2 * i - 1]) * 16 + strpos('0123456789ABCDEF', hex({of})[2 * i]) - 17"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({of}) + 1), lambda i: ({byte})::BIGINT)), lambda a, b: xor(a >> 8, v[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+_OP11_SQL = rf"""
+{_CRC}, d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), runs AS (SELECT unnest([1, 2, 3]) AS n),
+df AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS f FROM d, runs WHERE len(w) >= n),
+bf AS (SELECT unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS f FROM b, runs WHERE len(w) >= n),
+named AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf)),
+placed AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM named, crc),
+s AS (SELECT bucket, count(*)::BIGINT AS s FROM df JOIN placed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::BIGINT AS t FROM bf JOIN placed USING (f) GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM df)::DOUBLE AS all_s, (SELECT count(*) FROM bf)::DOUBLE AS all_t),
+gains AS (
+  SELECT r.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) r LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums
+), weights AS (SELECT doc_id, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM df JOIN placed USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+), placed_docs AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, sum(CASE WHEN fit THEN 1 ELSE 0 END) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n // 100 THEN place END AS rank FROM placed_docs
+"""
+
+_OP12_SQL = rf"""
+{_CRC}, docs AS (
+  SELECT doc_id, lang, {_crc32("doc_id::VARCHAR")} % 3 = 0 AS tampered, text,
+         concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head
+  FROM documents, crc
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || CASE WHEN tampered THEN {_LOWER.format("text")} ELSE text END, '-')) AS found FROM docs
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), low(tree, depth, pos, n, digest) AS (
+  SELECT tree, 0, pos, n, leaf FROM placed UNION ALL
+  SELECT tree, min(depth) + 1, pos // 8, (min(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY tree, pos // 8
+), subroots AS (SELECT tree, digest AS subroot, count(*) OVER () AS n_trees FROM low WHERE n = 1),
+top(depth, pos, n, digest) AS (
+  SELECT 0, tree, n_trees, subroot FROM subroots UNION ALL
+  SELECT min(depth) + 1, pos // 8, (min(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY pos // 8
+), above AS (
+  SELECT p.doc_id, p.tree, p.pos, depth, coalesce(string_agg(digest, '' ORDER BY l.pos) FILTER (l.pos < p.pos >> (3 * depth)), '') AS before, coalesce(string_agg(digest, '' ORDER BY l.pos) FILTER (l.pos > p.pos >> (3 * depth)), '') AS after
+  FROM placed p JOIN low l ON l.tree = p.tree AND l.n > 1 AND l.pos // 8 = (p.pos >> (3 * depth)) // 8 GROUP BY ALL
+  UNION ALL
+  SELECT p.doc_id, p.tree, p.pos, 100 + depth, coalesce(string_agg(digest, '' ORDER BY l.pos) FILTER (l.pos < p.tree >> (3 * depth)), ''), coalesce(string_agg(digest, '' ORDER BY l.pos) FILTER (l.pos > p.tree >> (3 * depth)), '')
+  FROM placed p JOIN top l ON l.n > 1 AND l.pos // 8 = (p.tree >> (3 * depth)) // 8 GROUP BY ALL
+), proofs AS (SELECT tree, pos, string_agg(before || after, '' ORDER BY depth) AS proof, list({{'before': before, 'after': after}} ORDER BY depth) AS steps FROM above GROUP BY tree, pos),
+folded(tree, pos, step, steps, digest) AS (
+  SELECT p.tree, p.pos, 1, coalesce(steps, []), found FROM placed p LEFT JOIN proofs q ON q.tree = p.tree AND q.pos = p.pos UNION ALL
+  SELECT tree, pos, step + 1, steps, sha256(steps[step].before || digest || steps[step].after) FROM folded WHERE step <= len(steps)
+), root AS (SELECT digest AS root FROM top WHERE n = 1)
+SELECT p.doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM placed p JOIN subroots USING (tree) LEFT JOIN proofs USING (tree, pos) JOIN (SELECT * FROM folded WHERE step > len(steps)) f ON f.tree = p.tree AND f.pos = p.pos, root
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_url_filter": op2_url_filter,
@@ -171,4 +243,6 @@ ORACLES: dict[str, str] = {
     "op7_mix_sources": _OP7_SQL,
     "op9_chat_format": _OP9_SQL,
     "op10_decontaminate": _OP10_SQL,
+    "op11_resample_ring": _OP11_SQL,
+    "op12_merkle_manifest": _OP12_SQL,
 }
