@@ -23,6 +23,8 @@ empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm.keys import row_key
-from ratelens.sources.tables import cut
+from ratelens.sources.tables import cut, drop
 
 RUN = "[A-Za-z0-9+/_-]"
 CONTEXT = 48
@@ -88,70 +90,90 @@ def features(candidate: Column, before: Column, after: Column) -> list[Column]:
 NAMES = ["size", "digits", "capitals", "letter_digit", "case_changes", "syllables", "distinct", "covered", "hex", "breaks", "symbols", "classes", "prose", "in_address", "slashes", "path", "assigned", "quoted", "secret_word", "plain_word"]
 
 
-def example_findings(spark: SparkSession, examples: int = 6000) -> DataFrame:
-    """A made-up table of labelled findings, the same on every call."""
+def _ingredients(spark: SparkSession, examples: int) -> DataFrame:
+    """What the made-up findings are put together from, a row for each: hashes of its id, words, and choices from lists."""
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
-    mixed = F.regexp_replace(F.base64(F.unhex(h)), "[^A-Za-z0-9]", "x")
-    roll = F.pmod(F.xxhash64("id"), F.lit(1000))
-    digits = F.regexp_replace(F.conv(F.substring(h, 1, 14), 16, 10), "$", F.conv(F.substring(h, 20, 10), 16, 10))
-    word = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(len(DICTIONARY))) + 1).cast("int"))
-    word2 = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(len(DICTIONARY))) + 1).cast("int"))
-    other = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(len(DICTIONARY))) + 1).cast("int"))
-
-    def pick(salt: int, *choices: str) -> Column:
+
+    def pick(salt: int, choices: list[str]) -> Column:
         return F.element_at(F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(choices))) + 1).cast("int"))
 
-    name = F.concat(other, F.lit(" "), pick(4, "token", "secret", "api_key", "apiKey", "password", "auth_token", "access_key", "client_secret", "TOKEN", "SECRET_KEY"), pick(5, " = \"", "=", ": ", "=\"", ": \"", " = '"))
-    closed = F.when(name.endswith('"'), '" ').when(name.endswith("'"), "' ").otherwise(" ")
-    bearer = F.concat(other, F.lit(" Authorization: Bearer "))
-    mark = pick(20, "!", "$", "#", "?", "@", "%", "&", "*", ".")
-    short = F.concat(F.substring(mixed, 1, 5), mark, F.substring(mixed, 6, 4))
-    spoken = F.concat(F.initcap(word), F.substring(digits, 1, 4), mark)
-    leet = F.concat(F.translate(F.initcap(word), "aeios", "43105"), mark, F.substring(h, 1, 4))
-    plain = F.concat(word, pick(21, "s", "ing", "er", "", "", "al", "able", "ed", ".", "."))
-    unset = pick(22, "required", "optional", "undefined", "None", "null,", "${PASSWORD}", "$TOKEN", "********", "xxxxxxxx", "changeme.", "os.environ", "process.env.KEY", "getenv", "string", "integer", "forgotten", "expired.", "<password>", "example")
-    address = F.concat(other, F.lit(" "), pick(23, "postgres", "mysql", "amqp", "https", "redis", "mongodb"), F.lit("://"), word, F.lit(":"))
-    rows = [
-        # (weight, candidate, before, after, label)
-        (10, F.substring(h, 1, 40), name, closed, 1),
-        (5, F.substring(h, 1, 32), name, closed, 1),
-        (4, h, name, closed, 1),
-        (8, F.upper(F.substring(h, 1, 40)), F.upper(name), closed, 1),
-        (8, F.substring(mixed, 1, 36), name, closed, 1),
-        (5, F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), F.concat(other, F.lit(" ")), F.lit(" "), 1),
-        (5, F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat(other, F.lit(" ")), F.lit(" "), 1),
-        (5, mixed, bearer, F.lit("\n"), 1),
-        (6, short, name, closed, 1),
-        (4, spoken, name, closed, 1),
-        (4, leet, name, closed, 1),
-        (5, F.when(roll % 2 == 0, short).otherwise(F.substring(mixed, 1, 12)), address, F.lit("@db.example.com/"), 1),
-        (8, plain, name, closed, 0),
-        (6, unset, name, closed, 0),
-        (3, F.concat(word, F.lit("."), word2, F.lit("("), other), name, closed, 0),
-        (6, F.substring(h, 1, 40), F.concat(other, pick(6, " commit ", " sha ", " see ", " digest ", " rev ", " checksum: ")), F.lit(" "), 0),
-        (6, F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12)), F.concat(other, pick(7, " uuid ", " id=", " guid: ", " ")), F.lit(" "), 0),
-        (8, F.substring(digits, 1, 16), F.concat(other, pick(8, " ", " card ", " order ", " tel ", ": ", "=")), F.lit(" "), 0),
-        (8, F.concat(word, F.lit("-"), word2, F.lit("-"), other, F.lit("-"), F.substring(digits, 1, 4)), F.concat(F.lit("https://"), other, F.lit(".example.com/")), pick(9, " ", "/", ".html"), 0),
-        (6, F.concat(word, F.lit("/"), word2, F.lit("/"), other, F.substring(digits, 1, 2)), F.concat(other, pick(10, " ", " src=\"/", " /", " href=\"")), pick(11, ".js", ".png\"", " "), 0),
-        (6, F.concat(word, F.lit("-"), F.substring(h, 1, 16)), F.concat(F.lit("/assets/"), other, F.lit("/")), F.lit(".js"), 0),
-        (5, F.concat(word, F.lit("_"), word2, F.lit("_"), other, F.substring(digits, 1, 3)), F.concat(other, F.lit(" ")), pick(12, " ", " = ", "("), 0),
-        (5, F.concat(F.initcap(word), F.initcap(word2), F.initcap(other), F.substring(digits, 1, 1)), name, closed, 0),
-    ]
-    total = sum(r[0] for r in rows)
-    start, candidate, before, after, label = 0, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
-    cases: list[tuple[Column, tuple]] = []
-    for r in rows:
-        cases.append((roll < F.lit(int(1000 * (start + r[0]) / total)), r))
-        start += r[0]
-    out = []
-    for i in range(1, 5):
-        value: Column | None = None
-        for test, r in cases:
-            item = r[i] if isinstance(r[i], Column) else F.lit(r[i])
-            value = F.when(test, item) if value is None else value.when(test, item)
-        out.append(value.otherwise(rows[-1][i] if isinstance(rows[-1][i], Column) else F.lit(rows[-1][i])))
-    table = spark.range(0, examples, 1, 2).select(*(c.alias(n) for c, n in zip(out, ("candidate", "before", "after", "label"))))
-    return table
+    return spark.range(0, examples, 1, 2).select(
+        "id",
+        F.pmod(F.xxhash64("id"), F.lit(1000)).alias("roll"),
+        h.alias("h"),
+        F.regexp_replace(F.base64(F.unhex(h)), "[^A-Za-z0-9]", "x").alias("mixed"),
+        F.regexp_replace(F.conv(F.substring(h, 1, 14), 16, 10), "$", F.conv(F.substring(h, 20, 10), 16, 10)).alias("digits"),
+        *(pick(salt, DICTIONARY).alias(name) for salt, name in ((1, "word"), (2, "word2"), (3, "other"))),
+        *(pick(salt, choices).alias(name) for name, (salt, choices) in _CHOICES.items()),
+    )
+
+
+_CHOICES = {
+    "named": (4, ["token", "secret", "api_key", "apiKey", "password", "auth_token", "access_key", "client_secret", "TOKEN", "SECRET_KEY"]),
+    "assigns": (5, [' = "', "=", ": ", '="', ': "', " = '"]),
+    "mark": (20, ["!", "$", "#", "?", "@", "%", "&", "*", "."]),
+    "ending": (21, ["s", "ing", "er", "", "", "al", "able", "ed", ".", "."]),
+    "unset": (22, ["required", "optional", "undefined", "None", "null,", "${PASSWORD}", "$TOKEN", "********", "xxxxxxxx", "changeme.", "os.environ", "process.env.KEY", "getenv", "string", "integer", "forgotten", "expired.", "<password>", "example"]),
+    "scheme": (23, ["postgres", "mysql", "amqp", "https", "redis", "mongodb"]),
+    "commit": (6, [" commit ", " sha ", " see ", " digest ", " rev ", " checksum: "]),
+    "uuid": (7, [" uuid ", " id=", " guid: ", " "]),
+    "card": (8, [" ", " card ", " order ", " tel ", ": ", "="]),
+    "page_end": (9, [" ", "/", ".html"]),
+    "path_start": (10, [" ", ' src="/', " /", ' href="']),
+    "path_end": (11, [".js", '.png"', " "]),
+    "name_end": (12, [" ", " = ", "("]),
+}
+
+#: (weight, candidate, before, after, label) of each kind of made-up finding, as SQL over _ingredients().
+_NAME = "concat(other, ' ', named, assigns)"
+_CLOSED = "CASE WHEN endswith(assigns, '\"') THEN '\" ' WHEN endswith(assigns, '\\'') THEN '\\' ' ELSE ' ' END"
+_SHORT = "concat(substr(mixed, 1, 5), mark, substr(mixed, 6, 4))"
+KINDS = [
+    (10, "substr(h, 1, 40)", _NAME, _CLOSED, 1),
+    (5, "substr(h, 1, 32)", _NAME, _CLOSED, 1),
+    (4, "h", _NAME, _CLOSED, 1),
+    (8, "upper(substr(h, 1, 40))", f"upper({_NAME})", _CLOSED, 1),
+    (8, "substr(mixed, 1, 36)", _NAME, _CLOSED, 1),
+    (5, "concat('AKIA', upper(substr(h, 1, 16)))", "concat(other, ' ')", "' '", 1),
+    (5, "concat('ghp_', substr(mixed, 1, 36))", "concat(other, ' ')", "' '", 1),
+    (5, "mixed", "concat(other, ' Authorization: Bearer ')", "'\n'", 1),
+    (6, _SHORT, _NAME, _CLOSED, 1),
+    (4, "concat(initcap(word), substr(digits, 1, 4), mark)", _NAME, _CLOSED, 1),
+    (4, "concat(translate(initcap(word), 'aeios', '43105'), mark, substr(h, 1, 4))", _NAME, _CLOSED, 1),
+    (5, f"CASE WHEN roll % 2 = 0 THEN {_SHORT} ELSE substr(mixed, 1, 12) END", "concat(other, ' ', scheme, '://', word, ':')", "'@db.example.com/'", 1),
+    (8, "concat(word, ending)", _NAME, _CLOSED, 0),
+    (6, "unset", _NAME, _CLOSED, 0),
+    (3, "concat(word, '.', word2, '(', other)", _NAME, _CLOSED, 0),
+    (6, "substr(h, 1, 40)", "concat(other, commit)", "' '", 0),
+    (6, "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))", "concat(other, uuid)", "' '", 0),
+    (8, "substr(digits, 1, 16)", "concat(other, card)", "' '", 0),
+    (8, "concat_ws('-', word, word2, other, substr(digits, 1, 4))", "concat('https://', other, '.example.com/')", "page_end", 0),
+    (6, "concat(word, '/', word2, '/', other, substr(digits, 1, 2))", "concat(other, path_start)", "path_end", 0),
+    (6, "concat(word, '-', substr(h, 1, 16))", "concat('/assets/', other, '/')", "'.js'", 0),
+    (5, "concat_ws('_', word, word2, concat(other, substr(digits, 1, 3)))", "concat(other, ' ')", "name_end", 0),
+    (5, "concat(initcap(word), initcap(word2), initcap(other), substr(digits, 1, 1))", _NAME, _CLOSED, 0),
+]
+
+
+def _dealt(ingredients: DataFrame) -> DataFrame:
+    """One finding for each row of ingredients, its kind drawn by weight; each kind is a projection of its own rows."""
+    total, start, parts = sum(k[0] for k in KINDS), 0, []
+    for weight, candidate, before, after, label in KINDS:
+        low, start = int(1000 * start / total), start + weight
+        kind = ingredients.where(f"roll >= {low} AND roll < {int(1000 * start / total)}")
+        parts.append(kind.selectExpr("id", f"{candidate} AS candidate", f"{before} AS before", f"{after} AS after", f"{label} AS label"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def example_findings(spark: SparkSession, examples: int = 6000) -> DataFrame:
+    """A made-up table of labelled findings, the same on every call.
+
+    Its parts are written first and the findings next: as one expression they are too much code for one method.
+    """
+    ingredients = cut(_ingredients(spark, examples), "sr-parts")
+    findings = cut(_dealt(ingredients).repartitionByRange(2, "id").sortWithinPartitions("id").select("candidate", "before", "after", "label"), "sr-findings")
+    drop(ingredients)
+    return findings
 
 
 def fit(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
@@ -202,7 +224,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every candidate with its score: doc_id, uid, pos, start, length, secret_sha256, score, is_secret."""
-    model = fit(example_findings(docs.sparkSession) if findings is None else findings)
+    if findings is None:
+        made = example_findings(docs.sparkSession)
+        model = fit(made)
+        drop(made)
+    else:
+        model = fit(findings)
     rows = candidates(docs, id_col, text_col)
     described = rows.select("doc_id", "uid", "pos", "start", "candidate", *features(F.col("candidate"), F.col("before"), F.col("after")))
     scored = model.transform(VectorAssembler(inputCols=NAMES, outputCol="features").transform(described))

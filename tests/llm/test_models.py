@@ -306,3 +306,23 @@ def test_suffix_statistics_are_cross_fitted_and_cover_all_urls(spark):
 
 def test_url_filter_of_nothing(spark):
     assert url_gbt.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def compiled(df):
+    """Bytes of the largest method of each whole-stage span; -1 where its code doesn't compile."""
+    found = df._jdf.queryExecution().debug().codegenToSeq()
+    return [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+
+
+def test_secret_stages_compile(spark):
+    docs = spark.createDataFrame([(1, 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', 3)], "doc_id long, text string, n_chars int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ingredients = secrets_rf._ingredients(spark, 100)
+        findings = secrets_rf.example_findings(spark, 200)
+        described = findings.select(*secrets_rf.features(F.col("candidate"), F.col("before"), F.col("after")))
+        frames = [ingredients, secrets_rf._dealt(ingredients), described, secrets_rf.scan(docs, findings), secrets_rf.redact(docs, findings)]
+        sizes = [compiled(df) for df in frames]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert all(sizes) and all(0 < n < 65_536 for found in sizes for n in found), sizes
