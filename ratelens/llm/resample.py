@@ -2,7 +2,8 @@
 
 Features are all runs of 1 to `order` consecutive words, joined by one space; a feature's bucket is its crc32 modulo `buckets`.
 A ring of running zlib states makes one scan of a text enough: at each word it holds the states of the runs that started at
-the last `order` - 1 words, extends each by a space and the word, and starts a new one. No run is ever spelled out.
+the last `order` - 1 words, extends each by a space and the word, and starts a new one. No run is ever spelled out. Words are
+taken a piece at a time, the states of one length after another, so that the loops run inside map().
 
 Two scans over the texts: the first counts buckets over the whole corpus (each task sends at most `buckets` counts), the second
 sums each document's bucket gains. Gains are a table of `buckets` numbers, bounded by that parameter. A document's score is its
@@ -19,7 +20,6 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -31,28 +31,45 @@ from pyspark.sql import functions as F
 from ratelens.llm.ranges import numbered
 from ratelens.sources.tables import cut, drop
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Bytes upper-case A-Z made lower.
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Buckets held as Python integers before they become an array.
-PIECE = 1 << 16
+#: Bytes as words are cut: A-Z made lower, separators [\x00-\x2F\x3A-\x60\x7B-\x7F] made blanks.
+WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes of a text that are cut into words at a time.
+PIECE = 1 << 18
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time; a piece ends at a separator."""
+    plain = text.translate(WORDS)
+    first = 0
+    while first < len(plain):
+        end = plain.find(b" ", first + PIECE)
+        end = len(plain) if end < 0 else end
+        yield plain[first:end].split()
+        first = end
 
 
 def ring(text: bytes, order: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(words, buckets of their features) of each piece of a text, in one scan."""
-    out: list[int] = []
-    states: list[int] = []
-    words = 0
-    for found in WORD.finditer(text.translate(LOWER)):
-        word = found[0]
-        longer = b" " + word
-        states = [crc32(word), *[crc32(longer, state) for state in states[: order - 1]]]
-        out += states
-        words += 1
-        if len(out) >= PIECE:
-            yield words, np.array(out, dtype=np.int64) % buckets
-            out, words = [], 0
-    yield words, np.array(out, dtype=np.int64) % buckets
+    """(words, buckets of their features) of each piece of a text, in one scan.
+
+    The states of the runs that end at a word are those that ended at the word before, each extended, and a new one;
+    the ring holds the last word's, from one piece to the next.
+    """
+    held: list[int | None] = [None] * order
+    for words in _pieces(text):
+        if not words:
+            continue
+        longer = [b" " + word for word in words]
+        states: list[int | None] = list(map(crc32, words))
+        found = [np.array(states, dtype=np.int64)]
+        last: list[int | None] = [states[-1]]
+        for n in range(1, order):
+            before = [held[n - 1], *states[:-1]]
+            skip = sum(state is None for state in before[:n])  # runs that would start before the text
+            states = [None] * skip + list(map(crc32, longer[skip:], before[skip:]))
+            found.append(np.array(states[skip:], dtype=np.int64))
+            last.append(states[-1])
+        held = last
+        yield len(words), np.concatenate(found) % buckets
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:

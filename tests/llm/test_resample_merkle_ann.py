@@ -63,9 +63,9 @@ def test_resample_empty_tables_and_text_ids(spark):
 
 
 def test_ring_scans_long_texts_in_pieces():
-    text = " ".join(f"w{i % 977}" for i in range(50_000))
+    text = " ".join(f"w{i % 977}" for i in range(200_000))
     pieces = list(resample.ring(text.encode(), 3, 10_000))
-    assert len(pieces) > 1 and sum(words for words, _ in pieces) == 50_000
+    assert len(pieces) > 1 and sum(words for words, _ in pieces) == 200_000
     assert Counter(np.concatenate([hit for _, hit in pieces]).tolist()) == Counter(zlib.crc32(f.encode()) % 10_000 for f in features(text)[1])
 
 
