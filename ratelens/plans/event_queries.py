@@ -147,26 +147,39 @@ def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.fingerprint(table(spark, sf_dir, "nation"), ["n_nationkey"])
 
 
-#: Spelled names: 16 letters and digits of a digest; of every third customer one is altered, of every third five.
-_SPELLED = "substr(md5(concat('n', {key})), 1, 16)"
-_ALTERED = "CASE {key} % 3 WHEN 0 THEN {n} WHEN 1 THEN concat(substr({n}, 1, 7), '-', substr({n}, 9)) ELSE concat(substr({n}, 1, 5), '-----', substr({n}, 11)) END"
+#: Spelled names: two words of 8 letters and digits of a digest. Of every fourth customer one is altered, of every fourth five, and of every fourth the words change places.
+_SPELLED = "concat(substr(md5(concat('n', {key})), 1, 8), ' ', substr(md5(concat('n', {key})), 9, 8))"
+_ALTERED = "CASE {key} % 4 WHEN 0 THEN {n} WHEN 1 THEN concat(substr({n}, 1, 6), '-', substr({n}, 8)) WHEN 2 THEN concat(substr({n}, 10), ' ', substr({n}, 1, 8)) ELSE concat(substr({n}, 1, 3), '-----', substr({n}, 9)) END"
+#: Cards: each supplier; each fourth has a branch of nearly its name and a union.
+_CARDS = """SELECT s_suppkey, cn, concat('филиал общества с ограниченной ответственностью ', cn) AS fn FROM s UNION ALL SELECT -s_suppkey * 2 - 1, concat(substr(cn, 1, 15), 'xy'), NULL FROM s WHERE s_suppkey % 4 = 0
+  UNION ALL SELECT -s_suppkey * 2 - 2, concat('профсоюз ', cn), NULL FROM s WHERE s_suppkey % 4 = 0"""
+
+
+def _indel(a: str, b: str) -> str:
+    """SQL of the Indel ratio: the longest common subsequence by rows of its table, each a running maximum over the row before."""
+    step = f"list_max(list_transform(range(2, j + 1), lambda k: old[k - 1] + CASE WHEN ord({a}[k - 1]) = c[1] THEN 1 ELSE 0 END))"
+    row = f"list_transform(range(1, length({a}) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(old[j], {step}) END)"
+    rows = f"list_prepend(list_transform(range(length({a}) + 1), lambda z: 0::BIGINT), list_transform(string_split({b}, ''), lambda x: [ord(x)::BIGINT]))"
+    return f"200.0 * list_reduce({rows}, lambda old, c: {row})[length({a}) + 1] / (length({a}) + length({b}))"
 
 
 @query(
     "org_name_match",
     f"""WITH n AS (SELECT c_custkey, {_SPELLED.format(key="c_custkey")} AS n FROM customer), q AS (SELECT c_custkey, {_ALTERED.format(key="c_custkey", n="n")} AS qn FROM n),
-    s AS (SELECT s_suppkey, {_SPELLED.format(key="s_suppkey")} AS cn FROM supplier), c AS (SELECT * FROM s UNION ALL SELECT -s_suppkey - 1, concat(substr(cn, 1, 14), 'xy') FROM s WHERE s_suppkey % 4 = 0),
-    p AS (SELECT c_custkey, s_suppkey, round(100.0 * (1 - levenshtein(qn, cn) / greatest(length(qn), length(cn))), 3) AS score FROM q, c),
-    r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM p WHERE score >= 70 WINDOW w AS (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey)),
-    b AS (SELECT *, CASE WHEN (second IS NULL AND score >= 85) OR (score >= 90 AND score - second >= 15) THEN 'accepted' ELSE 'needs_review' END AS decision FROM r WHERE n = 1),
-    t AS (SELECT c_custkey, string_agg(s_suppkey::VARCHAR, ',' ORDER BY n) AS candidates FROM r WHERE n <= 3 GROUP BY 1)
-    SELECT c_custkey, s_suppkey, score, coalesce(decision, 'needs_review') AS decision, candidates FROM customer LEFT JOIN b USING (c_custkey) LEFT JOIN t USING (c_custkey)""",
+    s AS (SELECT s_suppkey, {_SPELLED.format(key="s_suppkey")} AS cn FROM supplier), c AS ({_CARDS}),
+    w AS (SELECT c_custkey, s_suppkey, qn, cn, array_to_string(list_sort(string_split(qn, ' ')), ' ') AS qs, array_to_string(list_sort(string_split(cn, ' ')), ' ') AS cs, fn IS NOT NULL AND len(list_filter(string_split(qn, ' '), lambda x: NOT list_contains(string_split(fn, ' '), x))) = 0 AS held FROM q, c),
+    near AS (SELECT * FROM w WHERE held OR least(levenshtein(qn, replace(cn, 'профсоюз', 'zzzzzzzz')), levenshtein(qs, replace(cs, 'профсоюз', 'zzzzzzzz'))) <= 0.3 * (length(qn) + length(cn))),
+    p AS (SELECT c_custkey, s_suppkey, cn LIKE 'профсоюз%' AS other, greatest(round({_indel("qn", "cn")}, 3), round({_indel("qs", "cs")}, 3), CASE WHEN held THEN 88 ELSE 0 END) AS raw FROM near),
+    g AS (SELECT c_custkey, s_suppkey, other, CASE WHEN other THEN greatest(0, raw - 40) ELSE raw END AS score FROM p WHERE raw >= 70),
+    r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS place, row_number() OVER w AS n, lead(score) OVER w AS second, lead(other) OVER w AS second_other FROM g WINDOW w AS (PARTITION BY c_custkey ORDER BY other, score DESC, s_suppkey)),
+    b AS (SELECT *, CASE WHEN second IS NULL OR (second_other AND NOT other) THEN score >= 85 ELSE score >= 90 AND score - second >= 15 END AS good FROM r WHERE n = 1),
+    t AS (SELECT c_custkey, string_agg(s_suppkey::VARCHAR, ',' ORDER BY place) AS candidates FROM r WHERE place <= 3 GROUP BY 1)
+    SELECT c_custkey, s_suppkey, score, CASE WHEN good THEN 'accepted' ELSE 'needs_review' END AS decision, candidates FROM customer LEFT JOIN b USING (c_custkey) LEFT JOIN t USING (c_custkey)""",
 )
 def org_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer against every supplier; each fourth supplier has a branch of nearly its name."""
+    """Every customer's name, typing errors and all, against a registry of suppliers, their branches and unions."""
     q = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_SPELLED.format(key="c_custkey")).alias("n")).select("c_custkey", F.expr(_ALTERED.format(key="c_custkey", n="n")).alias("qn"))
-    c = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_SPELLED.format(key="s_suppkey")).alias("cn"))
-    branches = c.where("s_suppkey % 4 = 0").select((-F.col("s_suppkey") - 1).alias("s_suppkey"), F.concat(F.left("cn", F.lit(14)), F.lit("xy")).alias("cn"))
-    score = 100.0 * (1 - F.levenshtein("qn", "cn") / F.greatest(F.length("qn"), F.length("cn")))
-    found = matching.match_names(q, c.union(branches), "c_custkey", "qn", "s_suppkey", "cn", score)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_SPELLED.format(key="s_suppkey")).alias("cn"))
+    c = spark.sql(f"WITH s AS (SELECT * FROM {{s}}) {_CARDS}", s=s)
+    found = matching.match_names(q, c, "c_custkey", "qn", "s_suppkey", "cn", "fn")
     return found.withColumn("candidates", F.array_join("candidates", ","))
