@@ -9,12 +9,12 @@ first word) and the length bound (not past its last) drop what cannot fit, and t
 over the window's words.
 
 The join is a map-side probe: the index of prefix tokens is broadcast in blocks of at most `block` windows,
-counted before, and a larger benchmark is probed block after block within one stage. Document texts are
-never shuffled, whatever items or passages are frequent.
+counted before. A larger benchmark is probed block after block; between two blocks the documents are written with what was
+found so far, so a task holds one block at a time. Document texts are never shuffled, whatever items or passages are frequent.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. Defined results: null or
 wordless texts have no words and no hits; an item without words or without id is ignored; repeated items and
-windows count once for an item; item ids are integers, document ids may be of any type; repeated documents each get
+windows count once for an item; ids of items and of documents may be of any type, items are named by their ids as text; repeated documents each get
 a row; very long texts count whole; empty tables give no rows or no hits; other columns are ignored, whatever their names.
 Words and windows are compared by 64-bit hashes of all their bytes: a false hit has a chance of about 2**-64 for each
 pair of a document position and a window with the same prefix token.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ratelens.llm import textkernel as tk
 from ratelens.llm.keys import row_key, type_of
-from ratelens.sources.tables import cut
+from ratelens.sources.tables import cut, drop
 
 SHINGLE = 3
 #: Windows in one broadcast block: 40 bytes each.
@@ -55,7 +55,7 @@ def _item_windows(window: int):
                         whole, parts = tk.windows(h, size).view(np.int64), tk.windows(h, k).view(np.int64)
                         rows += [(batch.column("item_id")[first + i].as_py(), int(x), size, k, parts[at : at + size - k + 1].tolist()) for at, x in enumerate(whole)]
             columns = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["item_id", "w", "size", "k", "parts"])
 
     return run
@@ -104,7 +104,8 @@ def _counts(shared):
 
 def _probe(shared, first_pass: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {k: (_Members(v["part"]), v) for k, v in shared.value.items()}  # v is sorted by part
+        index = {k: (_Members(v["part"]), v) for k, v in shared.value["windows"].items()}  # v is sorted by part
+        names = shared.value["names"]
         for batch in batches:
             n_words, spans, items = [], [], []
             for first, end, data, offsets in tk.chunks(batch.column("text")):
@@ -127,7 +128,7 @@ def _probe(shared, first_pass: bool):
                         same[of] = tk.windows_at(hashes, start[of], one).view(np.int64) == v["w"][entry[of]]
                     hit_start.append(start[same])
                     hit_end.append(start[same] + size[same])
-                    hit_item.append(v["item_id"][entry[same]])
+                    hit_item.append(v["item"][entry[same]])
                 n_words += np.diff(w.ptr).tolist()
                 s, e, it = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (hit_start, hit_end, hit_item))
                 doc = np.searchsorted(w.ptr, s, side="right") - 1
@@ -137,15 +138,15 @@ def _probe(shared, first_pass: bool):
                 for i in range(end - first):
                     a, b = cuts[i], cuts[i + 1]
                     mine = np.stack([s[a:b], e[a:b]], axis=1) - w.ptr[i]
-                    found = it[a:b]
+                    found = {names[x] for x in np.unique(it[a:b]).tolist()}
                     if not first_pass:
                         old = np.array(batch.column("spans")[first + i].as_py(), dtype=np.int64).reshape(-1, 2)
                         mine = np.concatenate([old, mine])
-                        found = np.concatenate([found, np.array(batch.column("items")[first + i].as_py(), dtype=np.int64)])
+                        found.update(batch.column("items")[first + i].as_py())
                     spans.append(_merged(mine) if len(mine) else [])
-                    items.append(np.unique(found).tolist() if len(found) else [])
+                    items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 names=["doc_id", "text", "n_words", "spans", "items"],
             )
 
@@ -175,16 +176,16 @@ def benchmark_hits(
     window: int = 10,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row for each document: doc_id, n_words, spans (word positions [start, end, ...] that are hit), items (sorted ids)."""
+    """One row for each document: doc_id, n_words, spans (word positions [start, end, ...] that are hit), items (their ids as text, sorted)."""
     return _hits(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block).drop("text")
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
     context = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
     schema = f"doc_id {type_of(base, 'doc_id')}, {_HITS}"
-    found = cut(items.mapInArrow(_item_windows(window), "item_id long, w long, size int, k int, parts array<long>").distinct(), "bd-window")
+    found = cut(items.mapInArrow(_item_windows(window), "item_id string, w long, size int, k int, parts array<long>").distinct(), "bd-window")
 
     # Corpus frequency of every benchmark shingle, over all documents.
     parts = cut(found.select("k", F.explode("parts").alias("part")).distinct(), "bd-part")
@@ -197,31 +198,40 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
             here = base.select("text").mapInArrow(_counts(shared), "part long, n long")
             counts = here if counts is None else counts.union(here)
     if counts is None:
-        return base.mapInArrow(_probe(context.broadcast({}), True), schema)
+        drop(found, parts)
+        return base.mapInArrow(_probe(context.broadcast({"windows": {}, "names": []}), True), schema)
     counts = counts.groupBy("part").agg(F.sum("n").alias("n"))
 
     # The necessary prefix of each window: its rarest shingle.
     placed = found.select("item_id", "w", "size", "k", F.posexplode("parts").alias("offset", "part")).join(counts, "part", "left")
     prefix = placed.groupBy("item_id", "w", "size", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part", "offset")).alias("rarest"))
     prefix = cut(prefix.where("rarest.n > 0").select("item_id", "w", "size", "k", "rarest.part", "rarest.offset"), "bd-prefix")
+    drop(found, parts)
     blocks = max(1, -(-prefix.count() // block))
-    out, first = base, True
+    out, first, written = base, True, []
     for b in range(blocks):
+        if not first:
+            out = cut(out, "bd-hits")
+            drop(*written)
+            written = [out]
         rows = prefix.where(F.pmod(F.xxhash64("item_id", "w"), F.lit(blocks)) == b).toPandas()
         rows = rows.assign(order=rows["part"].to_numpy().view(np.uint64)).sort_values("order", kind="stable")
-        shared = context.broadcast({int(k): {c: g[c].to_numpy().astype(np.int64) for c in ("part", "offset", "size", "w", "item_id")} for k, g in rows.groupby("k")})
+        names = sorted(set(rows["item_id"]))
+        rows = rows.assign(item=np.searchsorted(np.array(names, dtype=object), rows["item_id"].to_numpy(dtype=object)) if names else [])
+        shared = context.broadcast({"names": names, "windows": {int(k): {c: g[c].to_numpy().astype(np.int64) for c in ("part", "offset", "size", "w", "item")} for k, g in rows.groupby("k")}})
         out = out.mapInArrow(_probe(shared, first), schema)
         first = False
+    drop(prefix)
     return out
 
 
-_HITS = "text string, n_words long, spans array<long>, items array<long>"
+_HITS = "text string, n_words long, spans array<long>, items array<string>"
 
 
 def summary(hits: DataFrame) -> DataFrame:
     """The digest of benchmark_hits: n_hit, n_items, items_sha256 and contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # ends minus starts, as signs alternate
-    named = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    named = F.concat_ws(",", "items")
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 

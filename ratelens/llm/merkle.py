@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.ranges import bounded, cut_numbered, sorted_ranges
+from ratelens.sources.ranges import bounded, cut_numbered, sorted_ranges
 from ratelens.sources.tables import cut, drop
 
 FAN = 8

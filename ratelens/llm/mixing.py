@@ -31,6 +31,8 @@ from ratelens.sources.tables import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source rows are broadcast up to this many (about 40 bytes each); beyond, the join shuffles.
 BROADCAST_SOURCES = 100_000
+#: Copies of a row in one run.
+RUN = 4096
 #: Keys of mixed documents (about 60 bytes each) are broadcast up to this many; beyond, the join shuffles the documents.
 BROADCAST_KEYS = 2_000_000
 
@@ -88,7 +90,9 @@ def mix_sources(
 ) -> DataFrame:
     """One row for each document: doc_id, size, source, source_size, target, taken (words, repeats counted)."""
     placed = _placed(docs, id_col, text_col, source_col, weights, share, cap, seed)
-    each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    # Copies of a row are listed a run at a time, so that no array grows with them.
+    runs = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long"))).alias("run"))
+    each = runs.select("*", F.explode(F.sequence("run", F.least(F.col("run") + RUN, "copies") - 1)).alias("copy"))
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("copy") * F.col("size")))
     return each.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
 

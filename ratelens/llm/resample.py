@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.ranges import numbered
+from ratelens.sources.ranges import numbered
 from ratelens.sources.tables import cut, drop
 
 #: Bytes as words are cut: A-Z made lower, separators [\x00-\x2F\x3A-\x60\x7B-\x7F] made blanks.

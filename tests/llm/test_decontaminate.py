@@ -59,6 +59,27 @@ def test_matches_brute_force(spark, block):
     assert sorted(map(tuple, got), key=str) == brute_force(docs, items)
 
 
+def test_blocks_are_probed_one_at_a_time(spark):
+    """With several blocks each is a stage of its own: the last plan holds one probe over a written table."""
+    docs, items = tables(3)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plan = decontaminate.benchmark_hits(d, b, block=10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "bd-hits" in plan
+
+
+def test_text_ids(spark):
+    docs, items = tables(4)
+    d = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc_id string, text string")
+    b = spark.createDataFrame([(None if i is None else f"q{i}", t) for i, t in items], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.benchmark_hits(d, b).withColumn("n_hit", decontaminate.F.size("spans")).collect()}
+    want = decontaminate.summary(decontaminate.benchmark_hits(d, b)).collect()
+    assert sum(r.n_items for r in want) > 10
+    for r in want:
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(got[r.doc_id][1])).encode()).hexdigest()
+    named = brute_force([(f"d{i}", t) for i, t in docs], [(None if i is None else f"q{i}", t) for i, t in items])
+    assert sorted(map(tuple, decontaminate.summary(decontaminate.benchmark_hits(d, b)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=str) == named
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.contaminated) for r in decontaminate.summary(decontaminate.benchmark_hits(d, b)).collect()] == [(3, False)]

@@ -180,3 +180,11 @@ def test_media_detects_damage(spark):
 
 def test_media_of_nothing(spark):
     assert media_chunks.read_back(media_chunks.store(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_many_copies_are_listed_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 3)
+    docs = spark.createDataFrame([(1, "a b", "s")] * 10 + [(2, "c", "t")] * 7 + [(3, "d e f", "t")], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).groupBy("doc_id").agg({"taken": "sum", "*": "count"}).collect()
+    assert {r.doc_id: r["count(1)"] for r in got} == {1: 10, 2: 7, 3: 1}
+    assert sum(r["sum(taken)"] for r in got) == 30

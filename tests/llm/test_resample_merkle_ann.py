@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ratelens.llm import graph_ann, merkle, ranges, resample
+from ratelens.llm import graph_ann, merkle, resample
+from ratelens.sources import ranges
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
