@@ -5,6 +5,9 @@ Patterns that touch letters use (?U) and (?iu), so Cyrillic counts as letters an
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -292,6 +295,22 @@ def person_in_text(name: Column, text: Column) -> Column:
     return F.forall(words, lambda w: F.contains(F.lower(text), F.left(w, F.greatest(F.lit(3), F.length(w) - 2))))
 
 
+def folded(text: Column) -> Column:
+    """For quotes: NFKC, quotation marks and dashes made plain, blanks squeezed, case folded. Each different text of a batch is folded once."""
+
+    def fold(value: str) -> str:
+        plain = unicodedata.normalize("NFKC", value).translate({ord("«"): '"', ord("»"): '"', ord("—"): "-", ord("–"): "-"})
+        return " ".join(plain.split()).casefold()
+
+    @F.pandas_udf("string")
+    def of(values: pd.Series) -> pd.Series:
+        codes, different = pd.factorize(values)
+        done = pd.Series([fold(v) for v in different] + [None], dtype="object")
+        return done.iloc[codes].reset_index(drop=True)  # null has code -1
+
+    return of(text)
+
+
 def quote_holds(quote: Column, source: Column, value: Column) -> Column:
     """A quote of 8 to 400 characters that is in the source and holds every number of the value."""
     return F.length(quote).between(8, 400) & F.contains(normalised(source), normalised(quote)) & (F.size(F.array_except(numbers(value), numbers(quote))) == 0)
