@@ -12,7 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Transliteration of names, letter by letter.
-CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya".replace("-", "").split(" ")))
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
 # Legal forms that don't belong to an organisation's name.
 LEGAL_FORMS = r"(?iu)(?<![\p{L}\d])(ооо|оао|зао|пао|ао|гуп|муп|гбу|гбуз|фгуп|фгбу|нко|ип)(?![\p{L}\d])"
 # Stems of month names in dates.
@@ -22,6 +25,12 @@ EXPIRY_WORDS = "акци предложени действу действите
 QUALIFIERS = "полученн оформленн выпущенн открыт заключённ заключенн совершённ совершенн выданн зарегистрированн".split()
 FINISHED = r"(?iu)акция\s+(завершена|окончена|завершилась)|предложение\s+(завершено|окончено)"
 NUMBER = r"\d+(?:[   ]\d{3})*(?:[.,]\d+)?"
+# Names of characters.
+ENTITIES = {
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "laquo": "«", "raquo": "»", "ldquo": "“", "rdquo": "”", "bdquo": "„", "lsquo": "‘", "rsquo": "’",
+    "mdash": "—", "ndash": "–", "minus": "−", "hellip": "…", "bull": "•", "middot": "·", "times": "×", "deg": "°", "plusmn": "±", "sect": "§", "copy": "©", "reg": "®", "trade": "™",
+    "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "frac12": "½", "frac14": "¼", "sup2": "²", "shy": "\u00ad", "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009",
+}
 #: Query parameters that only track a visit.
 TRACKING = r"utm_[^=&#]*=[^&#]*"
 
@@ -98,7 +107,7 @@ def scaled(number: Column, unit: Column) -> Column:
 def term_days(text: Column) -> Column:
     """struct<min_days, max_days, values>: a range "from A to B unit" or the set of listed terms; one bound alone is unknown."""
     low = F.lower(text)
-    unit = r"(дн|день|дня|day|мес|month|год|года|лет|year)"
+    unit = r"(дн|день|дня|сут|day|мес|month|год|года|лет|year)"
 
     def days(number: Column, word: Column) -> Column:
         n = number.try_cast("int")
@@ -274,9 +283,29 @@ def html_to_text(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|head)\b.*?</\1\s*>|<!--.*?-->", " ")
     rows = F.regexp_replace(F.regexp_replace(bare, r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | "), r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n")
     text = F.regexp_replace(rows, r"<[^<>]*>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")):
-        text = F.regexp_replace(text, a, b)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\u00a0]+", " "), r" ?\n[\n ]*", "\n"), F.lit(" \n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(entities_resolved(text), r"[ \t\r\u00a0]+", " "), r" ?\n[\n ]*", "\n"), F.lit(" \n"))
+
+
+def entities_resolved(text: Column) -> Column:
+    """Character references of a text replaced: the usual names, decimal and hexadecimal numbers; unknown ones stay. Once, so "&amp;lt;" gives "&lt;"."""
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def character(code: Column) -> Column:
+        """UTF-8 of a code point; surrogates, 0 and what is beyond Unicode have none."""
+        two = code.between(0x80, 0x7FF)
+        three = code.between(0x800, 0xFFFF)
+        tail = [F.lpad(F.hex(F.lit(0x80) + F.shiftright(code, 6 * i).bitwiseAND(F.lit(0x3F))), 2, "0") for i in range(3)]
+        lead = F.when(two, F.hex(F.lit(0xC0) + F.shiftright(code, 6))).when(three, F.hex(F.lit(0xE0) + F.shiftright(code, 12))).otherwise(F.hex(F.lit(0xF0) + F.shiftright(code, 18)))
+        spelled = F.when(code < 0x80, F.lpad(F.hex(code), 2, "0")).when(two, F.concat(lead, tail[0])).when(three, F.concat(lead, tail[1], tail[0])).otherwise(F.concat(lead, tail[2], tail[1], tail[0]))
+        return F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(spelled), "UTF-8"))
+
+    def resolved(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#?\w{1,8});", 1)
+        digits = F.when(name.rlike("^#[0-9]{1,7}$"), F.substr(name, F.lit(2)).cast("int")).when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("int"))
+        value = F.coalesce(F.try_element_at(known, name), character(digits))
+        return F.when((i == 0) | value.isNull(), F.concat(F.when(i == 0, "").otherwise("&"), piece)).otherwise(F.concat(value, F.substr(piece, F.length(name) + 2)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), resolved), "")).otherwise(text)
 
 
 def is_blocked_page(status: Column, body: Column) -> Column:

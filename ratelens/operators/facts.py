@@ -10,12 +10,13 @@ def assemble(cards: DataFrame, details: DataFrame, extracted: DataFrame) -> Data
     """One row for each product with conflicts resolved.
 
     cards: product, min_days, max_days, terms, min_amount, max_amount, fetched_at; details: the same without terms;
-    extracted: product, field, value. A detail page's term beats the card's, unless the card lists terms that all
+    extracted: product, field, value; of several values of a field the first by its text counts. A detail page's term beats the card's, unless the card lists terms that all
     lie in the detail's range: the stricter wins. A detail's amounts beat the card's, with a note where they
     differ. Extracted facts only fill gaps. checked_at is the oldest of the sources used.
     """
     d = details.select("product", *[F.col(c).alias(f"d_{c}") for c in ("min_days", "max_days", "min_amount", "max_amount", "fetched_at")])
-    x = extracted.groupBy("product").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("x"))
+    single = extracted.where("field IS NOT NULL").groupBy("product", "field").agg(F.min("value").alias("value"))
+    x = single.groupBy("product").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("x"))
     rows = cards.join(d, "product", "left").join(x, "product", "left")
     listed = F.col("terms").isNotNull() & F.forall("terms", lambda t: t.between(F.col("d_min_days"), F.col("d_max_days")))
     has_detail = F.col("d_min_days").isNotNull() | F.col("d_max_days").isNotNull()

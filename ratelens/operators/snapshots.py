@@ -27,20 +27,26 @@ def with_previous(runs: DataFrame, run: str, by: list[str]) -> DataFrame:
 
 
 def as_of(facts: DataFrame, at: str, values: DataFrame, since: str, value: str, lookback_days: int | None = None) -> DataFrame:
-    """Adds the value in force at each fact's time: the newest one not after it.
+    """Adds the value in force at each fact's time, and in_force_since: the newest one not after it.
 
-    values is a dimension of validity starts; it becomes intervals [since, next), and facts join the
-    interval by day, so the join is an equi-join: each interval is unrolled to its days, the last one up to the
-    latest fact. With a look-back, values older than that count as unknown; without one they stay in force.
+    values is a dimension of validity starts (days or times, different ones; null starts never come into force). Its starts become
+    intervals [start, next); facts join them by day, so the join is an equi-join: each interval is unrolled to the days that it
+    touches, the last one up to the latest fact, and a day on which a value changes has all its intervals in one row, among which
+    the fact's time decides. With a look-back, a value that started more than that many days earlier counts as unknown. A null time has none.
     """
-    until = F.lead(since).over(Window.orderBy(since))
+    started = values.where(F.col(since).isNotNull()).select(F.col(since).alias("__since"), F.col(since).cast("timestamp").alias("__from"), F.col(value).alias("__value"))
+    until = F.lead("__from").over(Window.orderBy("__from"))  # the dimension: one row for each start
     latest = facts.agg(F.max(F.to_date(at)).alias("__latest"))  # one row
-    spans = values.select(F.col(since).cast("date").alias("__from"), F.col(value), F.date_sub(until.cast("date"), 1).alias("__until")).crossJoin(F.broadcast(latest))
-    spans = spans.withColumn("__to", F.coalesce(F.least("__until", "__latest"), "__latest"))
+    spans = started.withColumn("__until", until).crossJoin(F.broadcast(latest))
+    first, last = F.to_date("__from"), F.coalesce(F.least(F.to_date("__until"), F.col("__latest")), F.col("__latest"))
     if lookback_days is not None:
-        spans = spans.withColumn("__to", F.least("__to", F.date_add("__from", lookback_days)))
-    days = spans.where("__to >= __from").select(F.explode(F.sequence("__from", "__to")).alias("__day"), value, F.col("__from").alias("in_force_since"))
-    return facts.join(days, F.to_date(at) == F.col("__day"), "left").drop("__day")
+        last = F.least(last, F.date_add(first, lookback_days))
+    days = spans.withColumn("__first", first).withColumn("__last", last).where("__last >= __first").select(F.explode(F.sequence("__first", "__last")).alias("__day"), "__from", "__until", "__since", "__value")
+    days = days.groupBy("__day").agg(F.array_sort(F.collect_list(F.struct("__from", "__until", "__since", "__value"))).alias("__spans"))
+    moment = F.col(at).cast("timestamp")
+    held = F.filter("__spans", lambda s: (s["__from"] <= moment) & (s["__until"].isNull() | (moment < s["__until"])))
+    joined = facts.join(days, F.to_date(at) == F.col("__day"), "left").withColumn("__held", F.get(held, F.lit(0)))
+    return joined.select(*facts.columns, F.col("__held.__value").alias(value), F.col("__held.__since").alias("in_force_since"))
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratelens.functions import text
 from ratelens.operators.snapshots import latest_per_key
+from ratelens.sources.tables import cut, drop
 
 
 def mapped_table(rows: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
@@ -58,12 +59,19 @@ def import_manifest(manifest: DataFrame, stored: DataFrame, allowed: list[str],
     return rows.select("source", "sha256", status.alias("status"), reason.alias("reason"))
 
 
-def ids_in_text(files: DataFrame, content: str, most: int = 50) -> DataFrame:
-    """Tax ids of a list file: id, position, valid. A lost leading zero is put back; only the first `most` valid ones are taken (the feature of the list)."""
+def ids_in_text(files: DataFrame, content: str, file: str, most: int = 50) -> DataFrame:
+    """Tax ids of list files: file, position, id, valid, truncated. A lost leading zero is put back, a repeated id counts once in its file.
+
+    Of each file only the first `most` valid ids are taken (the feature of such a list); truncated says that it has more.
+    """
     found = F.regexp_extract_all(content, F.lit(r"(?<!\d)(\d{9,12})(?!\d)"), F.lit(1))
-    rows = files.select(F.posexplode(F.array_distinct(F.transform(found, lambda x: F.when(F.length(x).isin(9, 11), F.concat(F.lit("0"), x)).otherwise(x)))).alias("position", "id"))
-    judged = rows.withColumn("valid", text.tax_id_valid(F.col("id")))
-    return judged.where("valid").orderBy("position").limit(most).unionByName(judged.where("not valid"))
+    whole = F.array_distinct(F.transform(found, lambda x: F.when(F.length(x).isin(9, 11), F.concat(F.lit("0"), x)).otherwise(x)))
+    judged = F.transform(whole, lambda x, i: F.struct(i.alias("position"), x.alias("id"), text.tax_id_valid(x).alias("valid")))
+    rows = files.select(F.col(file).alias("file"), judged.alias("ids")).withColumn("good", F.filter("ids", lambda x: x["valid"]))
+    last = F.get("good", F.lit(most - 1))["position"]
+    kept = F.filter("ids", lambda x: ~x["valid"] | F.col("last").isNull() | (x["position"] <= F.col("last")))
+    rows = rows.withColumn("last", last).withColumn("truncated", F.size("good") > most)
+    return rows.select("file", "truncated", F.explode(kept).alias("x")).select("file", "x.position", "x.id", "x.valid", "truncated")
 
 
 def discovered_links(pages: DataFrame, url: str, html: str, official: list[str], keywords: list[tuple[str, str]]) -> DataFrame:
@@ -81,18 +89,20 @@ def discovered_links(pages: DataFrame, url: str, html: str, official: list[str],
 def site_catalogue(nodes: DataFrame, sections: list[str], skip: str, promo: str) -> DataFrame:
     """Pages of a site tree under the wanted sections: path, title, section, is_promo.
 
-    nodes: id, parent, alias, title. Paths are built level by level in a recursive query over the tree.
+    nodes: id, parent, alias, title. A page joins its parent's path level by level, each level a written table, however deep the
+    tree is; the walk ends with a level without pages. Pages on a cycle or under an unknown parent hang on no root and don't appear.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("ratelens_site_nodes")
-    walked = spark.sql(
-        """WITH RECURSIVE walk(id, path, title, section) AS (
-             SELECT id, concat('/', alias), title, alias FROM ratelens_site_nodes WHERE parent IS NULL
-             UNION ALL
-             SELECT n.id, concat(w.path, '/', n.alias), n.title, w.section FROM ratelens_site_nodes n JOIN walk w ON n.parent = w.id
-           ) SELECT * FROM walk"""
-    )
-    return walked.where(F.col("section").isin(*sections) & ~F.col("path").rlike(skip)).select("path", "title", "section", F.lower("title").rlike(promo).alias("is_promo"))
+    children = nodes.select(F.col("id").alias("__id"), F.col("parent").alias("__parent"), F.col("alias").alias("__alias"), F.col("title").alias("__title"))
+    level = cut(nodes.where("parent IS NULL").select("id", F.concat(F.lit("/"), "alias").alias("path"), "title", F.col("alias").alias("section")).where(F.col("section").isin(*sections)), "site-level")
+    walked = level
+    while True:
+        below = children.join(level, F.col("__parent") == F.col("id")).select(F.col("__id").alias("id"), F.concat("path", F.lit("/"), "__alias").alias("path"), F.col("__title").alias("title"), "section")
+        level = cut(below, "site-level")
+        if level.isEmpty():
+            drop(level)
+            break
+        walked = walked.union(level)
+    return walked.where(~F.col("path").rlike(skip)).select("path", "title", "section", F.lower("title").rlike(promo).alias("is_promo"))
 
 
 def registry_cards(responses: DataFrame, payload: str) -> DataFrame:

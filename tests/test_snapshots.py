@@ -83,3 +83,14 @@ def test_digest_pieces(spark):
     assert {r.run: r.cost for r in digest.cost_by_run(usage, ["run"]).collect()} == {"r": None, "s": 8.0}
     votes = spark.createDataFrame([("x", 5, 3), ("x", 5, 5), ("y", 1, 3)], "category string, vote int, stars int")
     assert {r.category: r.verdict for r in digest.feedback_bias(votes).collect()} == {"x": "underrated", "y": "overrated"}
+
+
+def test_as_of_decides_within_the_day(spark):
+    t = datetime.datetime
+    values = spark.createDataFrame([(t(2026, 1, 1), 1.0), (t(2026, 1, 5, 15), 2.0), (t(2026, 1, 5, 18), 3.0), (t(2026, 1, 7), 4.0), (None, 9.0)], "since timestamp, rate double")
+    times = {1: t(2026, 1, 5, 8), 2: t(2026, 1, 5, 15), 3: t(2026, 1, 5, 17, 59), 4: t(2026, 1, 5, 18, 1), 5: t(2026, 1, 6), 6: t(2026, 1, 7), 7: t(2025, 12, 31), 8: None, 9: t(2026, 3, 1, 9)}
+    facts = spark.createDataFrame(list(times.items()), "id int, at timestamp")
+    got = {r.id: r.rate for r in snapshots.as_of(facts, "at", values, "since", "rate").collect()}
+    assert got == {1: 1.0, 2: 2.0, 3: 2.0, 4: 3.0, 5: 3.0, 6: 4.0, 7: None, 8: None, 9: 4.0}
+    back = {r.id: r.rate for r in snapshots.as_of(facts, "at", values, "since", "rate", lookback_days=5).collect()}
+    assert back == got | {9: None}

@@ -116,3 +116,14 @@ def test_hostile_input_is_fast(spark):
         start = time.perf_counter()
         values(spark, f, hostile)
         assert time.perf_counter() - start < 10  # seconds on a busy machine; quadratic patterns take minutes
+
+
+def test_entities(spark):
+    cases = {"&#8470; 5 &mdash; &laquo;a&raquo; &amp;lt; &#x1F600; &unknown; & co &#0; &#xD800; &#99999999;": "№ 5 — «a» &lt; 😀 &unknown; & co &#0; &#xD800; &#99999999;", "no references": "no references", "&": "&", "&nbsp;x": "\u00a0x", "&#65;&#1071;": "AЯ"}
+    got = {r.t: r.v for r in spark.createDataFrame([(c,) for c in cases], "t string").select("t", text.entities_resolved(F.col("t")).alias("v")).collect()}
+    assert got == cases
+
+
+def test_terms_in_days_and_nights(spark):
+    got = spark.createDataFrame([("от 30 до 60 сут.",)], "t string").select(text.term_days(F.col("t")).alias("d")).first().d
+    assert (got.min_days, got.max_days) == (30, 60)

@@ -29,9 +29,18 @@ def test_manifest(spark):
     assert sorted(got, key=str) == sorted([("unchanged", None), ("imported", None), ("rejected", "content_type"), ("rejected", "no_source"), ("rejected", "empty")], key=str)
 
 
+VALID = ["7707083893", "7736050003", "500100732259"]
+
+
 def test_ids(spark):
-    rows = spark.createDataFrame([("7707083893, 7707083894 500100732259",)], "t string")
-    assert {(r.id, r.valid) for r in uploads.ids_in_text(rows, "t").collect()} == {("7707083893", True), ("7707083894", False), ("500100732259", True)}
+    rows = spark.createDataFrame([("a.txt", "7707083893, 7707083894 500100732259 7707083893"), ("b.txt", None)], "f string, t string")
+    assert {(r.file, r.id, r.valid, r.truncated) for r in uploads.ids_in_text(rows, "t", "f").collect()} == {("a.txt", "7707083893", True, False), ("a.txt", "7707083894", False, False), ("a.txt", "500100732259", True, False)}
+
+
+def test_ids_are_limited_in_each_file(spark):
+    rows = spark.createDataFrame([("a", " ".join(VALID)), ("b", f"{VALID[0]} 7707083894 {VALID[1]}")], "f string, t string")
+    got = sorted((r.file, r.id, r.valid, r.truncated) for r in uploads.ids_in_text(rows, "t", "f", 2).collect())
+    assert got == [("a", VALID[0], True, True), ("a", VALID[1], True, True), ("b", VALID[0], True, False), ("b", "7707083894", False, False), ("b", VALID[1], True, False)]
 
 
 def test_links(spark):
@@ -47,6 +56,21 @@ def test_site_tree(spark):
     assert got == {("/personal", False), ("/personal/loans", False), ("/personal/loans/cash", True)}
 
 
+def test_site_tree_may_be_deep_and_have_cycles(spark):
+    nodes = [(0, None, "personal", "P")] + [(i, i - 1, f"a{i}", "T") for i in range(1, 130)] + [(200, 201, "x", "X"), (201, 200, "y", "Y"), (202, 999, "z", "Z")]
+    got = uploads.site_catalogue(spark.createDataFrame(nodes, "id int, parent int, alias string, title string"), ["personal"], "^$", "offer").collect()
+    assert len(got) == 130 and max(r.path.count("/") for r in got) == 130
+
+
+def test_repeated_fields_take_the_first_by_text(spark):
+    day = datetime.date(2026, 1, 2)
+    cards = spark.createDataFrame([(1, None, None, None, None, None, day)], "product int, min_days int, max_days int, terms array<int>, min_amount decimal(18,2), max_amount decimal(18,2), fetched_at date")
+    details = spark.createDataFrame([], "product int, min_days int, max_days int, min_amount decimal(18,2), max_amount decimal(18,2), fetched_at date")
+    extra = spark.createDataFrame([(1, "min_days", "91"), (1, "min_days", "30"), (1, None, "5"), (1, "max_days", None)], "product int, field string, value string")
+    row = facts.assemble(cards, details, extra).first()
+    assert (row.min_days, row.max_days) == (30, None)
+
+
 def test_registry(spark):
     payload = '{"suggestions":[{"value":"A","data":{"inn":"1","name":{"short_with_opf":"LLC A"},"state":{"status":"ACTIVE"}}},{"value":"B","data":{"inn":"2","branch_type":"BRANCH"}}]}'
     rows = uploads.registry_cards(spark.createDataFrame([(payload,)], "p string"), "p").collect()
