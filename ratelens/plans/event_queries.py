@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.operators import digest, matching
+from ratelens.operators import digest, matching, repeats
 from ratelens.plans.registry import query
 from ratelens.sources import sinks
 from ratelens.sources.tables import table
@@ -183,3 +183,36 @@ def org_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.sql(f"WITH s AS (SELECT * FROM {{s}}) {_CARDS}", s=s)
     found = matching.match_names(q, c, "c_custkey", "qn", "s_suppkey", "cn", "fn")
     return found.withColumn("candidates", F.array_join("candidates", ","))
+
+
+def part_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new events, events of earlier days, outside verdicts) made from parts: four tellings for every four parts, each 13th of an earlier day."""
+    firm = "substr(md5(concat('f', p_partkey DIV 8)), 1, 9)"
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "CAST(p_partkey AS BIGINT) AS id",
+        f"CASE p_partkey % 4 WHEN 0 THEN concat('Завод ', {firm}, ' открыл новый цех в городе') WHEN 1 THEN concat('Компания ', {firm}, ' запустила производство ', lower(p_brand)) WHEN 2 THEN concat({firm}, ' судится из-за ', lower(p_type)) ELSE concat('Погода в районе ', p_partkey DIV 40, ': дождь и ветер до ', p_size) END AS title",
+        "CASE p_partkey % 4 WHEN 3 THEN '' ELSE concat('Подробности о событии сообщили в компании: ', p_name, ', ', p_type) END AS summary",
+        f"CASE WHEN p_partkey % 4 < 3 THEN array(named_struct('name', concat('ООО ', {firm}, CASE WHEN p_partkey % 4 = 1 THEN 'z' ELSE '' END), 'inn', CAST(NULL AS STRING))) ELSE array() END AS organizations",
+        "CASE WHEN p_partkey % 4 < 2 THEN array(concat(90 + p_partkey DIV 4 % 7, ' млн рублей')) ELSE array() END AS amounts",
+        "CASE WHEN p_partkey % 16 = 2 THEN p_size END AS employees",
+        "CAST(NULL AS STRING) AS card_inn",
+        "p_size % 5 + 1 AS relevance",
+        "array(concat('u', p_partkey)) AS source_urls",
+        "array(p_brand) AS channels",
+        "array(concat('p', p_partkey)) AS post_keys",
+        "CASE WHEN p_partkey % 3 = 0 THEN concat('img', p_partkey) END AS image_url",
+    )
+    earlier = F.col("id") % 13 == 0
+    near = rows.select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") - 8, F.col("id") + 8)).alias("b")).where("a < b")
+    return rows.where(~earlier), rows.where(earlier), near.select("a", "b", ((F.col("a") + F.col("b")) % 3 == 0).alias("same"))
+
+
+@query("repeated_events")
+def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each new event under a budget of 15 verdicts; heads carry the sources of those that joined them."""
+    new, earlier, answers = part_events(spark, sf_dir)
+    state, paid = repeats.distinct_events(new, earlier, answers)
+    asked = spark.createDataFrame([(i + 1, x, y, s) for i, (x, y, s) in enumerate(paid)], "asked int, x long, y long, same boolean")
+    merged = repeats.merged_events(new, state).select(F.col("id").alias("head"), F.size("source_urls").alias("sources"), F.col("relevance").alias("head_relevance"), "image_url")
+    first = asked.groupBy(F.greatest("x", "y").alias("id")).agg(F.min("asked").alias("asked"))
+    return state.join(merged, "head").join(first, "id", "left").select("id", "head", "event", "status", "sources", "head_relevance", "image_url", "asked")
