@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ratelens.functions import text
 from ratelens.operators import pages
 from ratelens.plans.registry import query
+from ratelens.sources import adapters
 from ratelens.sources.tables import table
 
 #: (h1, category of the page, lines, expected: name, category, low, high, apr_low, apr_high, kind, source, amount_max, term_max)
@@ -71,3 +72,21 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.page_products(product_pages(spark, sf_dir))
     return found.select("page_id", *[F.col(n).cast("double").alias(n) if kind == "DOUBLE" else n for n, _, kind in _COLUMNS], (F.col("closed") != "").alias("is_closed"), "presence")
+
+
+@query(
+    "channel_newest_posts",
+    """WITH p AS (SELECT coalesce(source, 'none') AS channel, doc_id AS post_id, 'Post ' || doc_id || ' & more' || chr(10) || 'of ' || coalesce(n_chars, 0) || ' characters' AS text, TIMESTAMP '2026-10-01 00:00:00' + to_minutes(doc_id) AS published_at, text IS NOT NULL AND doc_id % 9 <> 4 AS whole FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY post_id DESC) AS n FROM p WHERE whole AND published_at > TIMESTAMP '2026-10-01 03:00:00')
+    SELECT channel, post_id, text, strftime(published_at, '%Y-%m-%d %H:%M') AS published_at FROM n WHERE n <= 20""",
+)
+def channel_newest_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as messages of their source's channel, up to 16 on a saved page; some messages have no text or no time."""
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("channel"), "doc_id", F.col("n_chars"), F.col("text").isNotNull().alias("said"))
+    said = F.when(F.col("said"), F.concat(F.lit('<div class="tgme_widget_message_text">Post '), F.col("doc_id").cast("string"), F.lit(" &amp; more<br><i>of "), F.coalesce(F.col("n_chars").cast("string"), F.lit("0")), F.lit(" characters</i></div>"))).otherwise("")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-10-01 03:00:00")) + F.col("doc_id") * 60)
+    stamp = F.when(F.col("doc_id") % 9 != 4, F.concat(F.lit('<a class="tgme_widget_message_date"><time datetime="'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+03:00">x</time></a>'))).otherwise("")
+    one = F.concat(F.lit('<div class="tgme_widget_message" data-post="'), "channel", F.lit("/"), F.col("doc_id").cast("string"), F.lit('">'), said, stamp, F.lit("</div>"))
+    pages = d.select("channel", F.floor(F.col("doc_id") / 16).alias("page"), one.alias("message")).groupBy("channel", "page").agg(F.concat_ws("", F.collect_list("message")).alias("html"))
+    posts = adapters.newest_posts(adapters.channel_posts(pages), F.to_timestamp(F.lit("2026-10-01 03:00:00")), 20)
+    return posts.select("channel", "post_id", "text", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
