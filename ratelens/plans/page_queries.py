@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.functions import text
+from ratelens.functions import tariffs, text
 from ratelens.operators import pages
 from ratelens.plans.registry import query
 from ratelens.sources import adapters
@@ -90,3 +90,31 @@ def channel_newest_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = d.select("channel", F.floor(F.col("doc_id") / 16).alias("page"), one.alias("message")).groupBy("channel", "page").agg(F.concat_ws("", F.collect_list("message")).alias("html"))
     posts = adapters.newest_posts(adapters.channel_posts(pages), F.to_timestamp(F.lit("2026-10-01 03:00:00")), 20)
     return posts.select("channel", "post_id", "text", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
+
+
+#: Tariffs with {a} < {b}: text, expected low and high, the beginning of the quote.
+TARIFFS = [
+    ("Полная стоимость кредита 19,9% — 64,9%|Неустойка 20% годовых|Процентная ставка: от {a}% до {b}% годовых", "a", "b", "Процентная ставка: от "),
+    ("1. Процентная ставка:|1.1. на покупки|0% годовых|от {a}% до {b}% годовых|2. Плата за обслуживание|ставка 7%", "a", "b", "1. Процентная ставка: от "),
+    ("3. Процентная ставка|1.1. Базовая|от {a} до {b}% годовых|4. Плата", "a", "b", "3. Процентная ставка: от "),
+    ("1. Процентная ставка|индивидуально|2. Плата|{a}% годовых|Ставка {b}%", "b", "b", "Ставка "),
+    ("Неустойка — ставка {a}% в день|Ключевая ставка {b}%", None, None, None),
+]
+
+
+@query(
+    "tariff_rates",
+    f"""WITH d AS (SELECT doc_id, doc_id % {len(TARIFFS)} AS k, (doc_id % 17 + 5.5)::DOUBLE AS a, (doc_id % 17 + 7.25)::DOUBLE AS b FROM documents)
+    SELECT doc_id, CASE k {' '.join(f'WHEN {i} THEN {t[1]}' for i, t in enumerate(TARIFFS) if t[1])} END AS low, CASE k {' '.join(f'WHEN {i} THEN {t[2]}' for i, t in enumerate(TARIFFS) if t[2])} END AS high,
+      CASE k {' '.join(f"WHEN {i} THEN '{t[3]}' || replace({t[1]}::VARCHAR, '.', ',')" for i, t in enumerate(TARIFFS) if t[3])} END AS quote FROM d""",
+)
+def tariff_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a tariff below its text."""
+    form = F.element_at(F.array(*[F.lit(t[0]) for t in TARIFFS]), (F.col("doc_id") % len(TARIFFS)).cast("int") + 1)
+    shown = {n: F.expr(f"replace(regexp_replace(CAST({_NUMBERS[n].replace('page_id', 'doc_id')} AS STRING), '[.]?0+$', ''), '.', ',')") for n in "ab"}
+    for name, value in shown.items():
+        form = F.replace(form, F.lit(f"{{{name}}}"), value)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", F.replace(form, F.lit("|"), F.lit("\n"))).alias("said"), shown["a"].alias("a"), shown["b"].alias("b"))
+    found = rows.withColumn("r", tariffs.tariff_rate(F.col("said")))
+    start = F.regexp_extract(F.col("r.quote"), r"^(.*?\d+(?:,\d+)?)(?=%| до)", 1)
+    return found.select("doc_id", F.col("r.low").alias("low"), F.col("r.high").alias("high"), F.when(F.col("r").isNotNull(), start).alias("quote"))
