@@ -68,18 +68,31 @@ def attach_repeats(posts: DataFrame, key: str, id_col: str, at: str = "ts", hori
     return posts.withWatermark(at, "1 hour").groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_once(rows: DataFrame, path: str, checkpoint: str, keys: list[str]):
+def write_once(rows: DataFrame, path: str, checkpoint: str, keys: list[str], at: str | None = None, horizon_days: int = 3):
     """Append each key once over all batches: a batch that is run again replaces its own files.
 
-    Every batch has a folder named by its id; keys already sent by earlier batches are anti-joined.
+    Every batch has a folder named by its id. With an event time `at`, the keys sent are logged by day beside the output, and a
+    batch reads only the days from its earliest one less the horizon on: a key comes once within the horizon, and what a batch reads
+    doesn't grow with the number of batches. Without it, keys of all earlier batches are read.
     """
+    log = f"{path.rstrip('/')}_sent"
 
     def put(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(keys)
-        if batch_id > 0:
+        if batch_id > 0 and at is None:
             sent = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{path}/batch={i}" for i in range(batch_id)])
             fresh = fresh.join(sent.select(*keys), keys, "left_anti")
+        elif batch_id > 0:
+            first = batch.agg(F.date_sub(F.to_date(F.min(at)), horizon_days)).first()[0]
+            if first is not None:
+                kept = ", ".join(f"`{c}` {batch.schema[c].dataType.simpleString()}" for c in keys)
+                sent = batch.sparkSession.read.schema(f"{kept}, batch int, day date").parquet(log)
+                fresh = fresh.join(sent.where((F.col("batch") < batch_id) & (F.col("day") >= F.lit(first))).select(*keys), keys, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if at is not None:
+            # The keys of this batch's own files, so that a batch that is run again logs what it wrote.
+            written = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}")
+            written.select(*keys, F.to_date(at).alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{log}/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
