@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ratelens.plans import analogue_queries, event_queries, extraction_queries, finance_queries, market_queries, page_queries, product_queries, report_queries, snapshot_queries, text_queries  # noqa: F401 (they register)
+from ratelens.plans import analogue_queries, constraint_queries, event_queries, extraction_queries, finance_queries, market_queries, page_queries, product_queries, report_queries, snapshot_queries, text_queries  # noqa: F401 (they register)
 from ratelens.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
