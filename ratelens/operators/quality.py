@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = ("low", "medium", "high")
+# Categories whose percentage is a rate, programs with a subsidy, pages of a section, titles that are a part of an address.
+SAVINGS = ("Вклады", "Накопительные счета")
+CREDIT = ("Кредиты", "Автокредиты", "Ипотека", "Кредитные карты")
+SUBSIDISED = r"(?iuU)льготн|семейн|госпрограм|господдерж|нов\w+\s+(регион|субъект|территор)|дальневост|арктич|\bит\b|\bit\b|военн|субсид|сельск|образова"
+SECTION_PAGE = r"(?iuU)для\s+(физических|частных)\s+лиц"
+SLUG_TITLE = r"^[a-z0-9_\-]+$"
+#: Percentage points: a full cost below its rate, savings above the key rate.
+COST_TOLERANCE, OVER_KEY = 0.5, 3.0
 
 
 def assess(offers: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
@@ -28,6 +36,34 @@ def rate_rules(value: Column, key_rate: Column, is_savings: Column, confirmed: C
     ]
 
 
+def product_rules(key_rate: Column) -> list[tuple[str, str, Column]]:
+    """All rules on a collected product: category, title, rate_min, rate_max, apr_min, region_method, absent, rate_source, subsidised.
+
+    They judge whether its rate may be ranked. A missing rate is noted and lowers nothing; rules on the key rate are silent where it is unknown.
+    """
+    category, title = F.coalesce("category", F.lit("")), F.coalesce("title", F.lit(""))
+    savings, credit = category.isin(*SAVINGS), category.isin(*CREDIT)
+    rated, priced = savings | credit, F.col("rate_min").isNotNull() | F.col("rate_max").isNotNull()
+    has_rate = rated & priced
+    low, high = F.least("rate_min", "rate_max"), F.greatest("rate_min", "rate_max")
+    section = title.rlike(SECTION_PAGE) | (F.lower(F.trim(title)) == F.lower(category))
+    source = F.coalesce("rate_source", F.lit(""))
+    return [
+        ("no_rate", "high", rated & ~priced),
+        ("region_not_confirmed", "low", F.col("region_method") == "not_confirmed"),
+        ("not_in_region", "low", F.coalesce("absent", F.lit("")) != ""),
+        ("section_page", "low", section),
+        ("slug_title", "medium", ~section & F.trim(title).rlike(SLUG_TITLE)),
+        ("from_showcase", "medium", rated & (source == "showcase")),
+        ("from_tariff", "medium", source == "tariff"),
+        ("from_estimate", "medium", source == "estimate"),
+        ("rate_out_of_range", "low", has_rate & ((low <= 0) | (high >= 100))),
+        ("savings_over_key", "low", has_rate & savings & (high > key_rate + OVER_KEY)),
+        ("credit_under_key", "low", has_rate & credit & ~title.rlike(SUBSIDISED) & (low < key_rate)),
+        ("cost_under_rate", "low", has_rate & (category != "Кредитные карты") & ~F.coalesce("subsidised", F.lit(False)) & (F.col("apr_min") < F.col("rate_min") - COST_TOLERANCE)),
+    ]
+
+
 def rollup(assessed: DataFrame, *keys: str) -> DataFrame:
     """Counts for each group, issue counts as a map, and the share of usable among rated (NULL if none is rated)."""
     rated = F.col("rated")

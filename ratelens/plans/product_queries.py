@@ -1,11 +1,11 @@
-"""Product queries: ids in four levels, showcase cards by beginnings of titles, terms that changed between two runs."""
+"""Product queries: ids in four levels, showcase cards by beginnings of titles, terms that changed between two runs, plausibility."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.operators import products
+from ratelens.operators import products, quality
 from ratelens.plans.registry import query
 from ratelens.sources.tables import table
 
@@ -66,3 +66,41 @@ def terms_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return part.select(F.col("p_brand").alias("bank"), k.alias("product"), made.alias("terms")).withColumn("fingerprint", products.terms_fingerprint(F.col("terms")))
 
     return products.term_changes(run(now), run(before))
+
+
+_PLAUSIBLE = """SELECT p_partkey AS product, ['Вклады', 'Кредиты', 'Кредитные карты', 'Дебетовые карты', 'Ипотека'][p_partkey % 5 + 1] AS category,
+  ['Вклад Рост', 'Кредит наличными', 'Семейная ипотека', 'Вклады для физических лиц', 'loans_new-1', 'Ипотека'][p_partkey % 6 + 1] AS title, CASE WHEN p_size % 4 > 0 THEN p_size * 2.5 END AS rate_min, CASE WHEN p_size % 3 > 0 THEN p_size * 2.5 + 1 END AS rate_max,
+  CASE WHEN p_partkey % 7 = 1 THEN p_size * 2.5 - 0.5 WHEN p_partkey % 7 = 2 THEN p_size * 2.5 - 0.75 END AS apr_min, p_partkey % 13 = 0 AS unconfirmed, p_partkey % 17 = 0 AS absent, ['body', 'showcase', 'tariff', 'estimate'][p_partkey % 4 + 1] AS rate_source, p_partkey % 3 = 0 AS subsidised FROM part"""
+
+
+@query(
+    "product_plausibility",
+    f"""WITH p AS ({_PLAUSIBLE}), f AS (SELECT *, category = 'Вклады' AS saves, category IN ('Кредиты', 'Кредитные карты', 'Ипотека') AS lends, coalesce(rate_min, rate_max) IS NOT NULL AS priced, least(rate_min, rate_max) AS low, greatest(rate_min, rate_max) AS high FROM p),
+    i AS (SELECT product, list_filter([CASE WHEN (saves OR lends) AND NOT priced THEN 'no_rate' END, CASE WHEN unconfirmed THEN 'region_not_confirmed' END, CASE WHEN absent THEN 'not_in_region' END,
+      CASE WHEN title = 'Вклады для физических лиц' OR title = category THEN 'section_page' END, CASE WHEN title = 'loans_new-1' THEN 'slug_title' END, CASE WHEN (saves OR lends) AND rate_source = 'showcase' THEN 'from_showcase' END, CASE WHEN rate_source = 'tariff' THEN 'from_tariff' END,
+      CASE WHEN rate_source = 'estimate' THEN 'from_estimate' END, CASE WHEN (saves OR lends) AND (low <= 0 OR high >= 100) THEN 'rate_out_of_range' END, CASE WHEN saves AND high > 19 THEN 'savings_over_key' END,
+      CASE WHEN lends AND title <> 'Семейная ипотека' AND low < 16 THEN 'credit_under_key' END, CASE WHEN (saves OR lends) AND category <> 'Кредитные карты' AND NOT subsidised AND apr_min < rate_min - 0.5 THEN 'cost_under_rate' END], lambda x: x IS NOT NULL) AS issues FROM f)
+    SELECT product, array_to_string(issues, ',') AS issues, CASE WHEN len(list_intersect(issues, ['region_not_confirmed', 'not_in_region', 'section_page', 'rate_out_of_range', 'savings_over_key', 'credit_under_key', 'cost_under_rate'])) > 0 THEN 'low'
+      WHEN len(list_intersect(issues, ['slug_title', 'from_showcase', 'from_tariff', 'from_estimate'])) > 0 THEN 'medium' ELSE 'high' END AS confidence FROM i""",
+)
+def product_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a collected product, by all rules at a key rate of 16 %."""
+    p, size = F.col("p_partkey"), F.col("p_size") * 2.5
+
+    def pick(n: int, *values: str):
+        return F.element_at(F.array(*map(F.lit, values)), (p % n).cast("int") + 1)
+
+    rows = table(spark, sf_dir, "part").select(
+        p.alias("product"),
+        pick(5, "Вклады", "Кредиты", "Кредитные карты", "Дебетовые карты", "Ипотека").alias("category"),
+        pick(6, "Вклад Рост", "Кредит наличными", "Семейная ипотека", "Вклады для физических лиц", "loans_new-1", "Ипотека").alias("title"),
+        F.when(F.col("p_size") % 4 > 0, size).alias("rate_min"),
+        F.when(F.col("p_size") % 3 > 0, size + 1).alias("rate_max"),
+        F.when(p % 7 == 1, size - 0.5).when(p % 7 == 2, size - 0.75).alias("apr_min"),
+        F.when(p % 13 == 0, "not_confirmed").otherwise("local").alias("region_method"),
+        F.when(p % 17 == 0, "недоступна").alias("absent"),
+        pick(4, "body", "showcase", "tariff", "estimate").alias("rate_source"),
+        (p % 3 == 0).alias("subsidised"),
+    )
+    judged = quality.assess(rows, quality.product_rules(F.lit(16.0)))
+    return judged.select("product", F.array_join("issues", ",").alias("issues"), "confidence")
