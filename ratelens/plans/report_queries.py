@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelens.functions import formats, text
-from ratelens.operators import availability, digest, market, promotions, quality, scenarios, snapshots
+from ratelens.operators import availability, digest, market, promotions, quality, reports, scenarios, snapshots
 from ratelens.plans.registry import query
 from ratelens.sources.tables import table
 
@@ -348,3 +348,58 @@ def banks_of_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bank"), F.to_date("l_shipdate").alias("run"))
     runs = lines.agg(F.min("run").alias("a"), F.max("run").alias("b")).select(F.explode(F.array("a", "b")).alias("run"))
     return lines.join(F.broadcast(runs), "run", "left_semi").select("bank").distinct()
+
+
+_SCENARIO_RESULTS = "SELECT o_orderkey AS product, o_custkey % 7 AS scenario, floor(o_totalprice) AS income_max, CASE WHEN o_orderkey % 3 = 0 THEN 'term' END AS reason FROM orders"
+
+
+@query("eligible_order", f"SELECT product, scenario, income_max::DOUBLE AS income_max, row_number() OVER (PARTITION BY scenario ORDER BY income_max DESC, product) AS place FROM ({_SCENARIO_RESULTS}) WHERE reason IS NULL")
+def eligible_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_SCENARIO_RESULTS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return reports.eligible_in_order(rows, "product").select("product", "scenario", F.col("income_max").cast("double").alias("income_max"), F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "chart_top_rows",
+    f"""WITH r AS (SELECT *, product % 4 = 1 AS restricted, row_number() OVER (PARTITION BY scenario ORDER BY income_max DESC, product % 4 = 1, product) AS place FROM ({_SCENARIO_RESULTS}) WHERE reason IS NULL)
+    SELECT product, scenario, restricted, place FROM r WHERE place <= 8""",
+)
+def chart_top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_SCENARIO_RESULTS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return reports.chart_rows(rows, "product", F.col("product") % 4 == 1).select("product", "scenario", "restricted", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "recent_changes_newest",
+    """WITH last AS (SELECT max(o_orderdate)::TIMESTAMP AS now FROM orders) SELECT o_orderkey FROM orders, last WHERE o_orderdate::TIMESTAMP >= now - INTERVAL 30 DAYS ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100""",
+)
+def recent_changes_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    dated = orders.join(F.broadcast(orders.agg(F.max("at").alias("now"))), F.col("at") <= F.col("now"))  # one row
+    return reports.recent_changes(dated, "at", "o_orderkey", F.col("now")).select("o_orderkey")
+
+
+@query(
+    "lights_order",
+    """WITH l AS (SELECT p_partkey, p_type AS label, ['red', 'yellow', 'green', 'grey'][p_size % 4 + 1] AS light FROM part)
+    SELECT p_partkey, light, row_number() OVER (ORDER BY list_position(['red', 'yellow', 'green', 'grey'], light), label, p_partkey) AS place FROM l""",
+)
+def lights_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("label"), F.element_at(F.array(*map(F.lit, reports.LIGHTS)), (F.col("p_size") % 4).cast("int") + 1).alias("light"))
+    return reports.lights_in_order(rows, "label", "p_partkey").select("p_partkey", "light", F.col("place").cast("long").alias("place"))
+
+
+_COPIES = {"example.com": "^/(de|en)/[0-9]*[05]$", "example.org": "^/fr/"}
+
+
+@query(
+    "sources_without_copies",
+    """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9_+.-]*://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9_+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE page_id % 4 < 2 AND page_id % 5 > 0),
+    h AS (SELECT *, regexp_replace(regexp_replace(host, '^www\\.', ''), '^.*\\.(example\\.[a-z]+)$', '\\1') AS site FROM p)
+    SELECT page_id FROM h WHERE NOT coalesce((regexp_replace(host, '^www\\.', '') = 'example.com' AND regexp_matches(path, '^/(de|en)/[0-9]*[05]$')) OR (regexp_replace(host, '^www\\.', '') = 'example.org' AND regexp_matches(path, '^/fr/')), FALSE)""",
+)
+def sources_without_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as sources of two modes and three states: confirmed ones to fetch, without copies for search engines."""
+    k = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.when(k % 4 < 2, "active").when(k % 4 == 2, "todo").otherwise("off").alias("status"), F.when(k % 5 > 0, "fetch").otherwise("manual").alias("mode"))
+    return reports.eligible_sources(rows).where(~reports.is_listing_copy(F.col("url"), _COPIES)).select("page_id")
