@@ -96,3 +96,22 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 150)] + [(200, 150), (7, 7)]
     got = {r.id: r.comp for r in near_dup.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 150)) and got[200] == got[150] == 150
+
+
+@pytest.mark.parametrize("leaf", [4096, 16])
+def test_recall_of_pairs_at_the_threshold(spark, leaf):
+    """120 pairs of exactly 300 common of 400 shingles, all of whose members share a passage of 60 words."""
+    rng = random.Random(leaf)
+    common = [f"c{i}" for i in range(60)]
+    docs = []
+    for pair in range(120):
+        own = [f"p{pair}w{i}" for i in range(294)]
+        other = list(own)
+        for i in range(10, 290, 28):
+            other[i] = f"q{pair}x{i}"
+        at = rng.randrange(0, 2)
+        for member, words in enumerate((own, other)):
+            docs.append((2 * pair + member, " ".join(common + words if at else words + common)))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), leaf=leaf).collect()}
+    found = sum(got[2 * p] == got[2 * p + 1] == 2 * p for p in range(120))
+    assert found == 120
