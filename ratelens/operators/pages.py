@@ -267,7 +267,9 @@ def base_rate(rows: DataFrame, lines: str, out: str) -> DataFrame:
         kind = F.when(usable & is_cost, "apr").when(usable & ~is_cost & counts, "rate")
         return F.struct(i.alias("i"), kind.alias("kind"), spanned.alias("values"), x.alias("raw"), before.alias("caption"), after.alias("after"), F.get(window, i).alias("kinds"))
 
-    rows = rows.withColumn(mark, F.filter(F.transform(line, judged), lambda m: m["kind"].isNotNull()))
+    # Only lines with a percentage are judged.
+    spots = F.filter(F.transform(line, lambda x, i: i), lambda i: F.get(value, i).isNotNull())
+    rows = rows.withColumn(mark, F.filter(F.transform(spots, lambda i: judged(F.get(line, i), i)), lambda m: m["kind"].isNotNull()))
     rows = rows.withColumn(aprs, F.filter(mark, lambda m: m["kind"] == "apr")).withColumn(found, F.filter(mark, lambda m: m["kind"] == "rate"))
     first = F.get(found, F.lit(0))
     common = F.get(F.filter(found, lambda m: (F.size(m["kinds"]) == 0) & (m["caption"] == F.get(found, F.lit(0))["caption"])), F.lit(0))
