@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratelens.functions import text
 from ratelens.operators import matching
+from ratelens.operators.pages import once
 from ratelens.plans.registry import query
 from ratelens.sources import html
 from ratelens.sources.tables import table
@@ -49,7 +50,9 @@ def lines_with_digits_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
     digits = F.transform("lines", lambda x: x.rlike("[0-9]"))
     near = F.filter("lines", lambda x, i: F.coalesce(F.get("digits", i - 1), F.lit(False)) | F.get("digits", i) | F.coalesce(F.get("digits", i + 1), F.lit(False)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).withColumn("digits", digits).select("doc_id", near.alias("near"))
+    # Each array is made once: a filter that was pushed below them would make all digits of a text anew for each of its lines.
+    rows = once(table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")), digits=digits)
+    rows = once(rows, near=near).select("doc_id", "near")
     chars = F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     return rows.where("size(near) > 0").select("doc_id", F.size("near").cast("long").alias("lines"), chars.alias("chars"))
 

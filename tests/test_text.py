@@ -127,3 +127,18 @@ def test_entities(spark):
 def test_terms_in_days_and_nights(spark):
     got = spark.createDataFrame([("от 30 до 60 сут.",)], "t string").select(text.term_days(F.col("t")).alias("d")).first().d
     assert (got.min_days, got.max_days) == (30, 60)
+
+
+def test_lines_near_digits_take_time_by_their_number(spark, tmp_path):
+    """One text of very many lines; made anew for each line, its digits took hours."""
+    import time
+
+    from ratelens.plans.text_queries import lines_with_digits_window
+
+    n = 60_000
+    said = "\n".join("7" if i % 10 == 0 else "a" for i in range(n))
+    spark.createDataFrame([(1, said), (2, "no\nnumber"), (3, None), (4, "a\n1")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.lines, r.chars) for r in lines_with_digits_window(spark, str(tmp_path)).collect()}
+    assert got == {1: (3 * n // 10 - 1, 3 * n // 10 - 1), 4: (2, 2)}
+    assert time.perf_counter() - began < 60
