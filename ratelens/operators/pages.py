@@ -63,10 +63,11 @@ CASHBACK = r"кешб|кэшб|cashback|бонус|балл|скидк|милл|
 WITHOUT_SERVICE = r"(?iuU)\bбез\s+(?:услуги\s+|подписки\s+)?(?:«[^»]{2,40}»|[А-ЯЁ]{2,4}\b|подписки|услуги)[^.]{0,80}?\bставк\w*\s+(?:от\s+)?(\d{1,2}(?:[,.]\d{1,3})?)\s?%(?:\s*[-–—]\s*(\d{1,2}(?:[,.]\d{1,3})?)\s?%)?"
 ESTIMATE = r"расч[её]т\s+произвед"
 SUBSIDISED = r"субсидир\w*[^.]{0,60}?учитыва"
-CLOSED = (
-    r"(?iuU)[^.\n]{0,60}(?:(?:больше|уже|сейчас|временно)\s+не\s+(?:выпуска|оформля|открыва|выда|принима)\w*|прекращ\w+\s+(?:выпуск|оформлени|при[её]м|открыти)\w*|при[её]м\s+заявок\s+(?:завершен|прекращ|приостановл)\w*"
-    r"|не\s+доступ\w+\s+для\s+(?:оформления|открытия)|(?:больше|уже|сейчас)\s+нельзя\s+(?:приобрести|оформить|открыть|купить|подключить))[^.\n]{0,60}"
+_NO_LONGER = (
+    r"(?:(?:больше|уже|сейчас|временно)\s+не\s+(?:выпуска|оформля|открыва|выда|принима)\w*|прекращ\w+\s+(?:выпуск|оформлени|при[её]м|открыти)\w*|при[её]м\s+заявок\s+(?:завершен|прекращ|приостановл)\w*"
+    r"|не\s+доступ\w+\s+для\s+(?:оформления|открытия)|(?:больше|уже|сейчас)\s+нельзя\s+(?:приобрести|оформить|открыть|купить|подключить))"
 )
+CLOSED = rf"(?iuU)[^.\n]{{0,60}}{_NO_LONGER}[^.\n]{{0,60}}"
 NOT_FOUND = r"такой страницы нет|такой страницы не существует|страница не найдена|page not found"
 SERVER_ERROR = r"^\s*(?:404|50[0-4])\b|bad gateway|service unavailable"
 BLOCKED = r"возникла проблема при открытии сайта|support id"
@@ -140,10 +141,17 @@ def is_error_page(h1: Column, title: Column, page: Column) -> Column:
 
 def presence_quote(page: Column, city: str, size: int = 200) -> Column:
     """The first line that names the city and looks like an address or hours; "" if none: a name in a list of cities is no office."""
-    near = F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(rf"(?iuU)([^\n]{{0,80}}\b{city}\w*[^\n]{{0,120}})"), F.lit(1))
+    # Only lines with the city: what may stand before it is tried from each character of a text.
+    named = F.filter(F.split(F.coalesce(page, F.lit("")), "\n"), lambda line: line.rlike(rf"(?iuU)\b{city}"))
+    near = F.flatten(F.transform(named, lambda line: F.regexp_extract_all(line, F.lit(rf"(?iuU)([^\n]{{0,80}}\b{city}\w*[^\n]{{0,120}})"), F.lit(1))))
     return F.left(F.coalesce(F.get(F.filter(F.transform(near, squeezed), lambda q: has(q, ADDRESS)), F.lit(0)), F.lit("")), F.lit(size))
 
 
+def closing_clause(said: Column) -> Column:
+    """What says that a product is no longer offered, "" if nothing; its words are looked for first, then what stands around them."""
+    return F.when(said.rlike(f"(?iuU){_NO_LONGER}"), F.regexp_extract(said, CLOSED, 0)).otherwise("")
+
+
 def first_at(items: Column, test: Callable[[Column, Column], Column]) -> Column:
     """1-based position of the first item that a test (of item and 0-based position) holds for; 0 if none."""
     return F.array_position(F.transform(items, lambda x, i: F.coalesce(test(x, i), F.lit(False))), True).cast("int")
@@ -374,7 +382,7 @@ def page_products(pages: DataFrame, h1: str = "h1", title: str = "title", page:
     # A credit page with rates but no condition in its description: the condition further down belongs to it.
     rows = rows.withColumn("__bv", F.transform("body", line_rates)).withColumn("__bc", _conditional(F.col("body"), F.col("__bv")))
     lacking = credit & F.exists("__bv", lambda v: v.isNotNull()) & ~F.exists("__bc", lambda c: c)
-    rows = rows.withColumn("__pv", F.when(lacking, F.transform("lines", line_rates))).withColumn("__pc", F.when(lacking, _conditional(F.col("lines"), F.col("__pv"))))
+    rows = once(rows, __pv=F.when(lacking, F.transform("lines", line_rates))).withColumn("__pc", F.when(lacking, _conditional(F.col("lines"), F.col("__pv"))))
     spot = F.coalesce(F.array_position("__pc", True).cast("int"), F.lit(0))
     extra = F.when(spot > 0, F.slice("lines", F.greatest(F.lit(1), spot - 4), spot + 4 - F.greatest(F.lit(1), spot - 4))).otherwise(F.array().cast("array<string>"))
     rows = rates_block(rows.withColumn("__rated", F.concat("body", extra)).withColumn("__cond", F.exists("__bc", lambda c: c) | (F.coalesce(F.array_position("__pc", True), F.lit(0)) > 0)), "__section")
@@ -395,7 +403,7 @@ def page_products(pages: DataFrame, h1: str = "h1", title: str = "title", page:
             "apr_min": F.coalesce("__own.apr_low", "__below.apr_low"),
             "apr_max": F.coalesce("__own.apr_high", "__below.apr_high"),
             "__at": amounts_and_terms(F.col("body")),
-            "closed": F.left(squeezed(F.regexp_extract(F.concat_ws("\n", F.col("name"), F.slice("body", 1, 40)), CLOSED, 0)), F.lit(160)),
+            "closed": F.left(squeezed(closing_clause(F.concat_ws("\n", F.col("name"), F.slice("body", 1, 40)))), F.lit(160)),
             "absent": denial_clause(F.array_join(F.concat("body", "__section"), "\n")),
             "__page": F.coalesce("text", F.lit("")),
         }

@@ -52,7 +52,9 @@ FROM pages WHERE page_id % {len(LAYOUTS)} <> 10"""
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, h1, title, text, category: the table's pages with a product's block in their text."""
-    rows = table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("own"))
+    # A page takes long for its bytes: files of few parts are dealt over all cores.
+    spread = table(spark, sf_dir, "pages").select("page_id", "html").repartition(6 * spark.sparkContext.defaultParallelism)
+    rows = spread.select("page_id", text.html_to_text(F.col("html")).alias("own"))
     layout = (F.col("page_id") % len(LAYOUTS)).cast("int")
 
     def of(i: int):

@@ -131,3 +131,19 @@ def test_long_pages_take_time_in_proportion(spark):
 
     seconds(10)
     assert seconds(40_000) < 60  # over 1 MB a page
+
+
+def test_clauses_of_long_texts_take_time_by_their_length(spark):
+    """From each character of a text, up to 80 before a city or 60 before a clause were tried."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from ratelens.operators import pages
+
+    noise = "слово и слово " * 40_000
+    rows = spark.createDataFrame([(f"{noise}\nг. Луганск, ул. Советская, 5; г. Луганск, ул. Мира, 7\n{noise}", f"{noise}\nКарта больше не выпускается. Да")], "page string, said string")
+    began = time.perf_counter()
+    got = rows.select(pages.presence_quote(F.col("page"), "Луганск").alias("p"), pages.closing_clause(F.col("said")).alias("c")).first()
+    assert (got.p, got.c) == ("г. Луганск, ул. Советская, 5; г. Луганск, ул. Мира, 7", "Карта больше не выпускается")
+    assert time.perf_counter() - began < 30
