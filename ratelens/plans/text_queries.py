@@ -10,7 +10,7 @@ from ratelens.operators import matching
 from ratelens.operators.pages import once
 from ratelens.plans.registry import query
 from ratelens.sources import html
-from ratelens.sources.tables import table
+from ratelens.sources.tables import cut, table
 
 _SQUEEZED = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
 
@@ -108,10 +108,10 @@ def reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's title, normalised: the posts of the news operators. event: the page a feed link has led to."""
+    """Each page's title, normalised: the posts of the news operators. event: the page a feed link has led to. Pages are read once, titles often."""
     title = text.normalised(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     fed = F.col("url").contains("utm_source")
-    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), fed.alias("fed"), F.when(F.col("url").startswith("https"), F.col("page_id")).alias("event"))
+    return cut(table(spark, sf_dir, "pages").select("page_id", title.alias("title"), fed.alias("fed"), F.when(F.col("url").startswith("https"), F.col("page_id")).alias("event")), "titles")
 
 
 @query("fuzzy_groups")
